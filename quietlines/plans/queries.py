@@ -1,0 +1,11 @@
+"""The queries of the core operators and the SQL that says the same."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
