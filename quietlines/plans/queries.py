@@ -2,10 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quietlines.operators import drift, rejects
+from quietlines.plans.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = rejects.rejected_lines(table(spark, d, "trace_lines").select(F.col("line_id").alias("row_id"), "raw"))
+    records = rejects.check_records(table(spark, d, "report_rows").select(F.col("record_id").alias("row_id"), "raw")).where("reason IS NOT NULL")
+    return lines.select(F.lit("trace_lines").alias("tbl"), "row_id").unionByName(records.select(F.lit("report_rows").alias("tbl"), "row_id"))
+
+
+def p4_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that fails to parse, with the reason and the first broken field."""
+    lines = rejects.rejected_lines(table(spark, d, "trace_lines").select(F.col("line_id").alias("row_id"), "raw"))
+    records = rejects.check_records(table(spark, d, "report_rows").select(F.col("record_id").alias("row_id"), "raw")).where("reason IS NOT NULL")
+    columns = ["row_id", "raw", "reason", "broken_field"]
+    return lines.select(F.lit("trace_lines").alias("tbl"), *columns).unionByName(records.select(F.lit("report_rows").alias("tbl"), *columns))
+
+
+def p4_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that parse."""
+    return rejects.valid_lines(table(spark, d, "trace_lines").select("line_id", "relative_path", "line_number", "raw"))
+
+
+def p4_reports(spark: SparkSession, d: str) -> DataFrame:
+    """The records that parse, as typed columns."""
+    return rejects.load_records(table(spark, d, "report_rows"))
+
+
+def p4_file_report(spark: SparkSession, d: str) -> DataFrame:
+    """invalid_json_lines and errors of every file."""
+    lines = table(spark, d, "trace_lines").select("line_id", "relative_path", "line_number", "raw")
+    return rejects.line_report(lines, rejects.rejected_lines(lines).drop("raw"))
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of every file, with the new names of renamed fields."""
+    return drift.schema_changes(table(spark, d, "trace_lines"), table(spark, d, "schema_baseline"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_changes(spark, d).select("relative_path", "field_name", "change_kind").distinct()
+
+
+def _p5_table(agent: str) -> Query:
+    return lambda spark, d: drift.consistent_table(table(spark, d, "trace_lines"), table(spark, d, "schema_baseline"), agent)
+
+
+def queries() -> dict[str, Query]:
+    own = (p4_found, p4_rejects, p4_lines, p4_reports, p4_file_report, p5_found, p5_changes)
+    return {q.__name__: q for q in own} | {f"p5_table_{a.partition('-')[0]}": _p5_table(a) for a in ("codex", "claude-code", "pi-agent")}
 
 
-def oracle_sql():
+def oracle_sql() -> dict[str, str]:
     return {}
