@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quietlines.operators import drift, rejects
+from quietlines.plans import redaction_queries
 from quietlines.plans.tables import table
 
+redact_mask = redaction_queries.redact_mask
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -58,8 +61,9 @@ def _p5_table(agent: str) -> Query:
 
 def queries() -> dict[str, Query]:
     own = (p4_found, p4_rejects, p4_lines, p4_reports, p4_file_report, p5_found, p5_changes)
-    return {q.__name__: q for q in own} | {f"p5_table_{a.partition('-')[0]}": _p5_table(a) for a in ("codex", "claude-code", "pi-agent")}
+    drawn = redaction_queries.queries() | {q.__name__: q for q in own}
+    return drawn | {f"p5_table_{a.partition('-')[0]}": _p5_table(a) for a in ("codex", "claude-code", "pi-agent")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return redaction_queries.oracle_sql()
