@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from quietlines.plans.tables import durable
 
 KINDS = ("email", "phone", "national_id", "address", "name")
-#: Most candidates per kind on which the span classifier is fitted.
-TRAIN_ROWS = 8000
+#: Candidates per kind, about, on which the span classifier is fitted.
+TRAIN_ROWS = 4000
 #: Length of the classifier's weight vector; features are hashed into it.
 BUCKETS = 4096
 #: Rounds of expectation maximisation at most.
@@ -214,25 +215,58 @@ def _votes(kind: str, text: str, s: int, e: int, form: str) -> list[int]:
 
 FORMS = {"email": EMAIL_FORMS, "phone": PHONE_FORMS, "national_id": ID_FORMS, "address": ADDRESS_FORMS, "name": NAME_FORMS}
 LABELERS = {"email": 6, "phone": 7, "national_id": 5, "address": 6, "name": 7}
-#: What a text must hold to have a candidate of the kind; saves running the patterns.
-NEEDS = {
-    "email": re.compile(r"@|%40|\bat\b|\[at\]|\bAT\b"),
-    "phone": re.compile(r"\d{2}"),
-    "national_id": re.compile(r"\d{2}"),
-    "address": re.compile(r"\d"),
-    "name": re.compile(r"[^\W\d_]"),
-}
-
-
+# Stretches of digits and separators long enough for a number of a person; dates are left out.
+_DIGITS = re.compile(r"(?<![\d])(?!\d{4}-\d\d-\d\d)\d(?:[ ()./\-‐‑\xa0]{0,3}\d){5,}")
+_NUMBERED = ("phone", "national_id")
+_TOWN_CODE = re.compile(r"\d{5} [^\W\d_a-z]|[A-Z]\d[A-Z\d]? ?\d[A-Z]{2}\b")
+_STREET_WORDS = tuple(
+    f" {w}" for word in "street st road rd avenue ave lane ln drive dr court ct terrace close mews boulevard blvd way place pl square sq crescent row gardens grove hill parade walk".split() for w in (word, word.capitalize())
+) + ("rue ", "Calle ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "C/", "Av.")
+_CAPITALS = re.compile(rf"[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ][\w.'’‑-]*,? (?:{PARTICLE} )?(?:[A-Za-z]{{2,3}}-)?[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ]")
+_APART = str.maketrans(dict.fromkeys("\"'<>|,;:=({[/-‑)]}.!?", " "))
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[str, int, int]]:
+    """(form, start, end) of a kind; cheap conditions come before the patterns."""
+    if kind in _NUMBERED:
+        for stretch in _DIGITS.finditer(text):
+            low, high = max(0, stretch.start() - 6), min(len(text), stretch.end() + 24)
+            for form, pattern in FORMS[kind]:
+                for m in pattern.finditer(text, low, high):
+                    yield form, *m.span()
+        return
+    if kind == "address":
+        if not (_TOWN_CODE.search(text) or any(w in text for w in _STREET_WORDS)):
+            return
+        open_forms = FORMS[kind]
+    elif kind == "email":
+        held = {"plain": "@" in text, "escaped": "%40" in text, "spelled": " dot " in text or " DOT " in text, "bracketed": any(b in text for b in ("at]", "at)", "at}", "at>", "AT", "at ]", "at )", "@]", "@)", "@ "))}
+        open_forms = [f for f in FORMS[kind] if held[f[0]]]
+    else:
+        capitals = bool(_CAPITALS.search(text))
+        lower = not GIVEN.isdisjoint(text.translate(_APART).split())
+        han = not text.isascii()
+        held = {"mixed": capitals, "three": capitals, "upper": capitals, "reversed": capitals and ", " in text, "lower": lower, "han": han}
+        open_forms = [f for f in FORMS[kind] if held[f[0]]]
+    group = 1 if kind == "name" else 0
+    for form, pattern in open_forms:
+        for m in pattern.finditer(text):
+            yield form, *m.span(group)
+
+
+@lru_cache(1 << 16)
 def _hashed(*parts: object) -> int:
     return zlib.crc32("\x1f".join(map(str, parts)).encode()) % BUCKETS
 
 
+_PIECES, _REPEATED = re.compile(r"\w+|[^\w\s]"), re.compile(r"(.)\1+")
+
+
 def _features(kind: str, text: str, s: int, e: int, form: str, votes: list[int]) -> list[int]:
-    before = re.findall(r"\w+|[^\w\s]", text[max(0, s - 30) : s])[-2:]
-    after = re.findall(r"\w+|[^\w\s]", text[e : e + 20])[:2]
+    before = _PIECES.findall(text, max(0, s - 30), s)[-2:]
+    after = _PIECES.findall(text, e, e + 20)[:2]
     span = text[s:e]
-    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "9", re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", span)))[:16]
+    shape = _REPEATED.sub(r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in span))[:16]
     last = _folded(span.split()[-1])
     found = [_hashed(kind, "bias"), _hashed(kind, form), _hashed(kind, "shape", shape), _hashed(kind, "end", last[-4:])]
     found += [_hashed(kind, "vote", i, v) for i, v in enumerate(votes)]
@@ -247,15 +281,11 @@ def candidates(text: str | None) -> list[tuple[int, int, int, str, list[int]]]:
         return []
     found = []
     for k, kind in enumerate(KINDS):
-        if not NEEDS[kind].search(text):
-            continue
         seen: dict[tuple[int, int], str] = {}
-        for form, pattern in FORMS[kind]:
-            for m in pattern.finditer(text):
-                s, e = m.span(1) if kind == "name" else m.span()
-                if kind == "phone" and (more := EXTENSION.match(text, e)):
-                    e = more.end()
-                seen.setdefault((s, e), form)
+        for form, s, e in _matches(kind, text):
+            if kind == "phone" and (more := EXTENSION.match(text, e)):
+                e = more.end()
+            seen.setdefault((s, e), form)
         if kind == "address":  # a span inside a longer one is the same mention cut short
             seen = {(s, e): f for (s, e), f in seen.items() if not any((a, b) != (s, e) and a <= s and e <= b for a, b in seen)}
         if kind == "email":  # clone addresses of repositories are none by definition
@@ -339,13 +369,16 @@ def train(found: DataFrame) -> np.ndarray:
     for k in range(len(KINDS)):
         patterns = {r["votes"]: r["count"] for r in counted if r["kinds"] == k}
         posterior[k] = estimate(patterns)[0] if patterns else {}
-    features: list[list[int]] = []
-    targets: list[float] = []
-    for k in range(len(KINDS)):
-        sample = spans.where(F.col("kinds") == k).orderBy(F.xxhash64("h", "starts")).limit(TRAIN_ROWS).select("votes", "features").collect()
-        features += [r["features"] for r in sample]
-        targets += [posterior[k][r["votes"]] for r in sample]
-    return fit_classifier(features, targets)
+    # About TRAIN_ROWS of each kind by hash, however many there are.
+    total = {k: sum(r["count"] for r in counted if r["kinds"] == k) for k in range(len(KINDS))}
+    chance = F.pmod(F.xxhash64("h", "starts"), F.lit(1_000_000))
+    wanted = F.lit(False)
+    for k, n in total.items():
+        if n:
+            wanted = wanted | ((F.col("kinds") == k) & (chance < int(min(1.0, TRAIN_ROWS / n) * 1_000_000)))
+    sample = spans.where(wanted).select("kinds", "votes", "features").toArrow()
+    rows = list(zip(*(sample.column(c).to_pylist() for c in ("kinds", "votes", "features")), strict=True))
+    return fit_classifier([f for *_, f in rows], [posterior[k][v] for k, v, _ in rows])
 
 
 def choose(kinds: list[int], starts: list[int], ends: list[int], features: list[list[int]], weights: np.ndarray) -> list[tuple[int, int, int]]:
