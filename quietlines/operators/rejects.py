@@ -187,7 +187,8 @@ def scan_json(text: str) -> tuple[str, str] | None:
 
 
 def rejected_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """The rows whose `raw` is not one JSON value, with `reason` and `broken_field`."""
+    """The rows whose `raw` is not one JSON value, with `reason` and `broken_field` (columns of these names are replaced)."""
+    df = df.drop("reason", "broken_field")
     suspects = df.where(~_matches(F.col(raw), json_pattern()))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
