@@ -1,0 +1,151 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quietlines.llm import credentials, pii, splitting
+
+S = "Zx9kQ2mB7vLp4T"
+FOUND = {
+    f"export DB_PASSWORD={S} && make": [S],
+    f"curl -H 'Authorization: Bearer {S}{S}' https://x": [S + S],
+    f"psql 'postgresql://app:{S}@db:5432/x'": [S],
+    f'{{"client_secret":"{S}"}}': [S],
+    f'"{{\\"password\\": \\"{S}\\"}}"': [S],
+    f"define('DB_PASSWORD', '{S}');": [S],
+    f'c.setPassword("{S}");': [S],
+    f"<password>{S}</password>": [S],
+    f"mysql -uroot -p'{S}' -h x": [S],
+    f"docker login x -u y -p {S} && docker pull z": [S],
+    f"echo {S} | docker login x --password-stdin": [S],
+    f"curl -u app:{S} https://x": [S],
+    f"tool --api-key {S} --limit 3": [S],
+    f"gpg --passphrase 'four words inside here' -d x": ["four words inside here"],
+    f"the db password is {S} , try it": [S],
+    f"curl 'https://x/y?token={S}&a=1'": [S],
+    "Passwort=abc9defgh\nBenutzer=x": ["abc9defgh"],
+    "use ghp_" + "a1B2" * 9 + " now": ["ghp_" + "a1B2" * 9],
+    "k -----BEGIN RSA PRIVATE KEY-----\n" + "Ab1/" * 20 + "\n-----END RSA PRIVATE KEY----- x": ["-----BEGIN RSA PRIVATE KEY-----\n" + "Ab1/" * 20 + "\n-----END RSA PRIVATE KEY-----"],
+    f"😀 API_KEY={S}": [S],
+}
+NONE = [
+    "", "export DB_PASSWORD=$OTHER", "password = getpass.getpass()", "Api(api_key=self.api_key)", "TOKEN=${{ secrets.TOKEN }}", "echo 'API_TOKEN=<REDACTED:bearer_token>'", "SECRET=********", "PASSWORD=YOUR_KEY_HERE",
+    "PASSWORD_MIN_LENGTH=61", "--max_tokens=2751", "docker run -e TOKEN --env-file .env x", "rg 'BEGIN (RSA|EC) PRIVATE KEY' x", "grep -E 'AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}' x", "assert token == expected_token",
+    '{"password": null, "token": "", "cache_key": "a:b"}', "git checkout " + "a1b2c3d4" * 5, "-----BEGIN PUBLIC KEY-----\nabcd\n-----END PUBLIC KEY-----", "the password is in the vault", "./x --api-key-file /etc/x/key", 'curl -H "Authorization: Bearer $T" x',
+    "sk-folding-cube-loader-animation", "x=data:image/png;base64," + S,
+]
+
+
+@pytest.mark.parametrize("code", FOUND)
+def test_credentials_are_found_and_only_they_change(code):
+    spans = credentials.find_credentials(code)
+    assert [code[s:e] for s, e in spans] == FOUND[code]
+    red = credentials.redact(code, spans)
+    assert red == code.replace(FOUND[code][0], credentials.PLACEHOLDER) and credentials.find_credentials(red) == []
+
+
+@pytest.mark.parametrize("code", NONE)
+def test_no_credentials(code):
+    assert credentials.find_credentials(code) == []
+
+
+def test_credentials_as_columns(spark):
+    texts = [*FOUND, *NONE, None, next(iter(FOUND)), "x " * 200_000 + f"TOKEN={S}"]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "row_id int, code string, credential_spans int").drop("credential_spans")
+    rows = {r["row_id"]: r for r in credentials.with_credentials(df, "code", "redacted").collect()}
+    for i, t in enumerate(texts):
+        spans = credentials.find_credentials(t)
+        assert [tuple(s) for s in rows[i]["credential_spans"]] == spans and rows[i]["redacted"] == credentials.redact(t, spans)
+    assert len(rows[len(texts) - 1]["credential_spans"]) == 1
+    assert credentials.with_credentials(df.limit(0), "code", "redacted").count() == 0
+
+
+def test_gate_holds_for_every_finding(spark):
+    df = spark.createDataFrame([(t,) for t in FOUND], "t string")
+    assert df.where(~F.col("t").rlike(credentials.GATE)).count() == 0
+
+
+def _texts():
+    rng = random.Random(3)
+    bits = ["word ", "end. ", "line\n", "para\n\n", "漢字。", "😀", "x" * 40, "\t", "é! "]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["", "y" * 5000, None, "z " * 100_000, "\n" * 500]
+
+
+def test_pieces_fit_cover_and_overlap(spark):
+    texts = _texts()
+    rows = [(i, t, c, o) for i, t in enumerate(texts) for c, o in ((100, 10), (50, 0), (60, 30), (60, 40), (None, 5), (0, 0), (80, None))]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, i int, t string, c long, o long")
+    got = {r["n"]: r["p"] for r in df.select("n", splitting.split_pieces(F.col("t"), F.col("c"), F.col("o")).alias("p")).collect()}
+    for n, (_, t, c, o) in enumerate(rows):
+        p = got[n]
+        if t is None or not c or (o or 0) * 2 > c:
+            assert p is None
+            continue
+        if len(t) <= c:
+            assert [x["piece"] for x in p] == [t]
+            continue
+        end = 0
+        for k, x in enumerate(p):
+            assert x["piece_no"] == k and t[x["start_pos"] : x["end_pos"]] == x["piece"] and len(x["piece"]) <= c
+            assert x["start_pos"] == (end - (o or 0) if k else 0)
+            end = x["end_pos"]
+        assert end == len(t) and len(p) > 1
+
+
+def test_cuts_prefer_strong_boundaries(spark):
+    text = "a" * 30 + ".\n\n" + "b" * 20 + ". " + "c" * 60
+    p = spark.createDataFrame([(text,)], "t string").select(splitting.split_pieces(F.col("t"), F.lit(60), F.lit(0)).alias("p")).first()["p"]
+    assert p[0]["piece"].endswith("\n\n")
+
+
+def test_oversized_rows_join_their_configuration(spark):
+    sessions = spark.createDataFrame([(1, "a", "x" * 11, 5), (2, "a", "x" * 10, 5), (3, "b", "x" * 50, 5), (4, None, "x" * 99, 5), (5, "a", None, 5)], "row_id long, relative_path string, content string, chunk_size int")
+    files = spark.createDataFrame([("a", 1), ("a", 1), ("c", 2), (None, 2)], "relative_path string, config_id long")
+    configs = spark.createDataFrame([(1, 10, 2), (2, 20, 2)], "config_id long, chunk_size long, overlap_chars long")
+    assert [r["row_id"] for r in splitting.oversized(sessions, files, configs).collect()] == [1]
+    assert [(r["start_pos"], r["end_pos"]) for r in splitting.pieces(sessions, files, configs).orderBy("piece_no").collect()] == [(0, 8), (6, 11)]
+    assert splitting.oversized(sessions.limit(0), files, configs.limit(0)).count() == 0
+
+
+PII = [
+    ("Author: Noor Fenninga <noor-fen@example.org>", {("name", "Noor Fenninga"), ("email", "noor-fen@example.org")}),
+    ("The ticket came from Ewan de la Caldford, who can be reached under +44 20 7946 0355.", {("name", "Ewan de la Caldford"), ("phone", "+44 20 7946 0355")}),
+    ("The laptop of W. Zaratake cannot reach 10.20.0.7.", {("name", "W. Zaratake")}),
+    ("The fixture has ssn=954-40-5531 in line 7", {("national_id", "954-40-5531")}),
+    ("Ship the unit to Flat 12, 150 Tanner's Court, Port Calder, ZX5 2QQ and close the job.", {("address", "Flat 12, 150 Tanner's Court, Port Calder, ZX5 2QQ")}),
+    ("pickup at Calle del Molinete 127, 1º C, 00389 Peñarrosa between 1 and 2", {("address", "Calle del Molinete 127, 1º C, 00389 Peñarrosa")}),
+    ("reach me on (350) 555-0124 or 285.555.0142 x77", {("phone", "(350) 555-0124"), ("phone", "285.555.0142 x77")}),
+    ("Please write to bjrn.ost [at] team.test", {("email", "bjrn.ost [at] team.test")}),
+    ("Dear Ms. 雪峰結菜, your export is attached.", {("name", "雪峰結菜")}),
+]
+PLAIN = [
+    "Clone git@db.example:team/basalt.git and switch to main.", "Pinned mailer@3.13.18 and core@3.1.2 in the lock file.", "Visual Studio and Apache Spark both report timeout.", "Job 9577.6878.25 on Friday Morning took 35150 ms; SHA 1ccd40c-a4f25b7.",
+    "Run id e035b39f-2b97-453a-a002-5911cb9231e6 wrote 7040 rows, epoch 1753803849.", "[2025-03-27 02:34:46] INFO search started on port 6414", "icon@2x.png is missing", "Mail templates contain {user}@{domain} only.",
+]
+
+
+def test_pii_is_learned_from_votes(spark):
+    texts = [t for t, _ in PII] * 12 + PLAIN * 25 + ["", None]
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tbl string, row_id long, text string")
+    rows = {r["row_id"]: r for r in pii.find_pii(df, keep=("tbl", "row_id", "text")).withColumn("out", pii.replace_spans("text")).collect()}
+    for i, t in enumerate(texts):
+        want = dict(PII).get(t, set())
+        got = {(s["pii_kind"], t[s["start_pos"] : s["end_pos"]]) for s in rows[i]["spans"]} if i in rows else set()
+        assert got == want, t
+    assert rows[0]["out"] == "Author: <REDACTED:name> <<REDACTED:email>>"
+
+
+def test_pii_of_nothing(spark):
+    df = spark.createDataFrame([], "tbl string, row_id long, text string")
+    assert pii.find_pii(df).count() == 0
+    assert pii.candidates(None) == [] and pii.candidates("") == []
+
+
+def test_expectation_maximisation_finds_the_reliable_labeler():
+    posterior, table = pii.estimate({"++0": 40, "--+": 60, "+-0": 3, "00+": 10})
+    assert posterior["++0"] > 0.9 > 0.1 > posterior["--+"] and table[0, 0, 2] > table[1, 0, 2]
+
+
+def test_long_text_has_candidates_in_bounded_time():
+    text = "no one here, 12 of 99 rows. " * 20_000 + "Author: Noor Fenninga <a@b.org>"
+    assert {pii.KINDS[c[0]] for c in pii.candidates(text)} >= {"name", "email"}
