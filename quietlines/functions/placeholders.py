@@ -36,10 +36,10 @@ def is_placeholder_column(value: Column) -> Column:
     return first | second | third
 
 
-def replacement_column(value: Column, label: str, mode: str, seed: int) -> Column:
+def replacement_column(value: Column, label: Column, mode: str, seed: int) -> Column:
     if mode == "remove":
         return F.lit("")
     if mode == "mask":
-        return F.lit(f"<REDACTED:{label}>")
+        return F.concat(F.lit("<REDACTED:"), label, F.lit(">"))
     kind = "HASHED" if mode == "hash" else "REPLACED"
-    return F.concat(F.lit(f"<{kind}:{label}:"), stable_hash_column(value, label, seed), F.lit(">"))
+    return F.concat(F.lit(f"<{kind}:"), label, F.lit(":"), stable_hash_column(value, label, seed), F.lit(">"))

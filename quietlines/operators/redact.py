@@ -1,8 +1,8 @@
 """The secret rules over a text column: two interchangeable back ends.
 
 `arrow` runs the rules as Python expressions on Arrow batches behind necessary
-conditions and is the default; `native` is made of JVM expressions only, one stage per
-rule. Both give `struct<text, regex_counts>` with the same text and counts. Null text
+conditions and is the default; `native` is made of JVM expressions only, one fold over
+the rules. Both give `struct<text, regex_counts>` with the same text and counts. Null text
 gives null text and no counts; placeholders that already stand in the text are matched
 but neither changed nor counted.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quietlines.config import RedactionConfig
 from quietlines.functions.placeholders import is_placeholder, is_placeholder_column, replacement, replacement_column
-from quietlines.functions.rules import RULES, Rule
+from quietlines.functions.rules import RULES
 
 _COMPILED = [(r.name, r.python(), r.python_gate()) for r in RULES]
 RESULT = "struct<text:string, regex_counts:map<string,bigint>>"
@@ -87,35 +87,39 @@ def with_redaction(df: DataFrame, column: str, config: RedactionConfig, passes:
     return gated.withColumn("redaction", F.when(F.col("_gated").isNotNull(), F.col("_done")).otherwise(plain)).drop("_gated", "_done")
 
 
-def _native_stage(df: DataFrame, rule: Rule, mode: str, seed: int) -> DataFrame:
-    """One rule as two projections over `_t` (text) and `_c` (count per rule)."""
-    pattern = rule.java()
-    hit = F.coalesce(F.col("_t").rlike(rule.java(rule.gate)), F.lit(False))
-    kept = [c for c in df.columns if c not in ("_t", "_c")]
-    none = F.array().cast("array<string>")
-    group = lambda i: F.when(hit, F.regexp_extract_all("_t", F.lit(pattern), F.lit(i))).otherwise(none)
-    parts = df.select(*kept, "_t", "_c", group(1).alias("_pre"), group(2).alias("_val"), group(3).alias("_suf"), F.when(hit, F.split("_t", pattern, -1)).otherwise(F.array("_t")).alias("_gaps"))
-    put = F.transform(
-        F.arrays_zip("_pre", "_val", "_suf"),
-        lambda x: F.concat(x["_pre"], F.when(is_placeholder_column(x["_val"]), x["_val"]).otherwise(replacement_column(x["_val"], rule.name, mode, seed)), x["_suf"]),
-    )
-    joined = F.array_join(F.zip_with("_gaps", F.concat(put, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    n = F.size(F.filter("_val", lambda v: ~is_placeholder_column(v))).cast("bigint")
-    return parts.select(*kept, F.when(F.size("_val") > 0, joined).otherwise(F.col("_t")).alias("_t"), F.map_concat("_c", F.create_map(F.lit(rule.name), n)).alias("_c"))
+def native_redaction(text: Column, config: RedactionConfig, passes: int = 2) -> Column:
+    """Column of `RESULT` made of JVM expressions only.
+
+    The rules are an array of literals that a fold runs over, so the expression stays as
+    small as one rule however many rules and passes there are. A rule's matches are taken
+    apart into prefix, value and suffix with the gaps between them, and put together again.
+    """
+    table = F.array(*(F.struct(F.lit(r.name).alias("name"), F.lit(r.java(r.gate)).alias("gate"), F.lit(r.java()).alias("pattern")) for r in RULES * passes))
+    names = F.array(*(F.lit(r.name) for r in RULES))
+    start = F.struct(text.alias("text"), F.array().cast("array<string>").alias("hits"))
+
+    def step(state: Column, rule: Column) -> Column:
+        group = lambda i: F.regexp_extract_all(state["text"], rule["pattern"], F.lit(i))
+        parts = F.array(F.struct(group(1).alias("pre"), group(2).alias("val"), group(3).alias("suf"), F.split(state["text"], rule["pattern"], -1).alias("gaps")))
+
+        def put(p: Column) -> Column:
+            new = lambda x: F.concat(x["pre"], F.when(is_placeholder_column(x["val"]), x["val"]).otherwise(replacement_column(x["val"], rule["name"], config.mode, config.seed)), x["suf"])
+            filled = F.transform(F.arrays_zip(p["pre"].alias("pre"), p["val"].alias("val"), p["suf"].alias("suf")), new)
+            joined = F.array_join(F.zip_with(p["gaps"], F.concat(filled, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+            counted = F.transform(F.filter(p["val"], lambda v: ~is_placeholder_column(v)), lambda v: rule["name"])
+            return F.struct(F.when(F.size(p["val"]) > 0, joined).otherwise(state["text"]).alias("text"), F.concat(state["hits"], counted).alias("hits"))
+
+        return F.when(F.coalesce(F.rlike(state["text"], rule["gate"]), F.lit(False)), F.get(F.transform(parts, put), F.lit(0))).otherwise(state)
+
+    def finish(state: Column) -> Column:
+        counts = F.map_from_arrays(names, F.transform(names, lambda n: F.size(F.filter(state["hits"], lambda h: h == n)).cast("bigint")))
+        return F.struct(state["text"].alias("text"), F.map_filter(counts, lambda _, n: n > 0).alias("regex_counts"))
+
+    return F.aggregate(table, start, step, finish)
 
 
 def with_redaction_native(df: DataFrame, column: str, config: RedactionConfig, passes: int = 2) -> DataFrame:
-    """Add `redaction` (RESULT) with JVM expressions only, one stage per rule and pass."""
-    added: list[str] = []
-    out = df.withColumn("_t", F.col(column))
-    for i in range(passes):
-        out = out.withColumn("_c", F.create_map().cast("map<string,bigint>"))
-        for rule in RULES:
-            out = _native_stage(out, rule, config.mode, config.seed)
-        added.append(f"_c{i}")
-        out = out.withColumnRenamed("_c", f"_c{i}")
-    total = F.col(added[0])
-    for more in added[1:]:
-        total = F.map_zip_with(total, F.col(more), lambda _, a, b: a + b)
-    counts = F.map_filter(total, lambda _, n: n > 0)
-    return out.withColumn("redaction", F.struct(F.col("_t").alias("text"), F.when(F.col("_t").isNotNull(), counts).otherwise(F.create_map().cast("map<string,bigint>")).alias("regex_counts"))).drop("_t", *added)
+    """Add `redaction` (RESULT) with JVM expressions only; texts that no rule can match skip the fold."""
+    text = F.col(column)
+    plain = F.struct(text.alias("text"), F.create_map().cast("map<string,bigint>").alias("regex_counts"))
+    return df.withColumn("redaction", F.when(any_rule(text), native_redaction(text, config, passes)).otherwise(plain))
