@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that rules are mined from, at most; every fifth calibrates.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 8_000
 #: Documents that must support a rule, words in a rule, and the least share of units.
 MIN_DOCS, MAX_WORDS, SHARE = 3, 3, 0.25
+#: Share of the baskets that must hold a word set.
+LEAST_SUPPORT = 1 / 20_000
 #: Confidence under which a word or a rule says nothing.
 WORD_CONFIDENCE, RULE_CONFIDENCE = 0.22, 0.35
 #: Weight of the uncalibrated line in the calibration, in cases.
@@ -144,16 +146,21 @@ def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
         total = transactions.count()
         if not total:
             return {}
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, MIN_DOCS / total), minConfidence=WORD_CONFIDENCE).fit(transactions)
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_DOCS / total, LEAST_SUPPORT)), minConfidence=WORD_CONFIDENCE).fit(transactions)
         mined = (
             model.associationRules.where(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda i: i.startswith("=")) & (F.size("antecedent") <= MAX_WORDS))
-            .select("antecedent")
-            .distinct()
-            .collect()  # word sets of a bounded sample
+            .select(F.array_join(F.array_sort("antecedent"), " ").alias("words"), F.element_at("consequent", 1).alias("subject"), "confidence")
+            .toArrow()  # rules of a bounded sample
         )
     finally:
         transactions.unpersist()
-    sets = frozenset(frozenset(r["antecedent"]) for r in mined)
+    by_words = {(w, s): c for w, s, c in zip(*(mined.column(n).to_pylist() for n in ("words", "subject", "confidence")), strict=True)}
+    # A longer rule must say more than the shorter ones inside it, before its documents are counted.
+    sets = frozenset(
+        frozenset(w.split())
+        for (w, s), c in by_words.items()
+        if all(c > by_words.get((" ".join(sub), s), 0.0) for size in range(1, w.count(" ") + 1) for sub in combinations(w.split(), size))
+    )
     known = frozenset().union(*sets) if sets else frozenset()
 
     def support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,12 +174,13 @@ def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
                     counts.update((name, s) for s in subjects)
             yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["words", "subject", "n"])
 
-    supported = _mapped(mining, support, "words string, subject string, n bigint").groupBy("words", "subject").agg(F.sum("n").alias("n")).collect()
-    docs = {r["words"]: r["n"] for r in supported if r["subject"] == ""}
+    supported = _mapped(mining, support, "words string, subject string, n bigint").groupBy("words", "subject").agg(F.sum("n").alias("n")).toArrow()
+    rows = list(zip(*(supported.column(n).to_pylist() for n in ("words", "subject", "n")), strict=True))
+    docs = {w: n for w, s, n in rows if s == ""}
     confidence: dict[frozenset[str], dict[str, float]] = defaultdict(dict)
-    for r in supported:
-        if r["subject"] and docs[r["words"]] >= MIN_DOCS:
-            confidence[frozenset(r["words"].split())][r["subject"]] = (r["n"] + SHRINK / n_subjects) / (docs[r["words"]] + SHRINK)
+    for w, s, n in rows:
+        if s and docs[w] >= MIN_DOCS:
+            confidence[frozenset(w.split())][s] = (n + SHRINK / n_subjects) / (docs[w] + SHRINK)
     rules: Rules = {}
     for words, by_subject in confidence.items():
         for subject, c in by_subject.items():
