@@ -95,7 +95,7 @@ SHORT_OPTIONS = (
 )
 
 #: A condition that every text with a finding fulfils; it keeps most rows inside the JVM.
-GATE = r"(?i)pass|pwd|passwor|contrase|kennwort|senha|secret|token|key|cred|auth|bearer|basic|private|://|curl|redis-cli|http|sshpass|sk[-_]|gh[pousr]_|glpat|xox|hf_|npm_|[rp]k_|AIza|A[KS]IA|eyJ|pypi-|dop_v1|SG\.|密|口令|令牌|パスワード|пароль|pgpass|SecureString"
+GATE = r"(?i)pass|pwd|passwor|contrase|kennwort|senha|secret|token|key|cred|auth|bearer|basic|private|://|curl|wget|mysql|mariadb|docker|sudo|redis-cli|http|sshpass|sk[-_]|gh[pousr]_|glpat|xox|hf_|npm_|[rp]k_|AIza|A[KS]IA|eyJ|pypi-|dop_v1|SG\.|密|口令|令牌|パスワード|пароль|pgpass|SecureString"
 
 
 def names_credential(name: str) -> bool:
