@@ -49,24 +49,23 @@ def split_pieces(text: Column, chunk: Column, overlap: Column) -> Column:
     whole = F.array(text)
     usable = text.isNotNull() & (chunk > 0) & (lap * 2 <= chunk)
     parts = F.when(usable & (F.char_length(text) <= chunk), whole).when(usable, cores)
-    sizes = F.transform(parts, lambda p: F.char_length(p))
-    ends = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["ends"], F.array(a["at"] + n)).alias("ends")),
-        lambda a: a["ends"],
-    )
-    zipped = F.arrays_zip(parts.alias("core"), ends.alias("end"))
 
-    def piece(p: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.right(F.get(parts, i - 1), lap)).otherwise(F.lit(""))
-        end, body = p["end"], p["core"]
-        start = end - F.char_length(body) - F.char_length(before)
-        return F.struct(
-            i.cast("int").alias("piece_no"), start.cast("bigint").alias("start_pos"), end.cast("bigint").alias("end_pos"), F.concat(before, body).alias("piece")
+    def placed(parts: Column) -> Column:
+        """The pieces of one text; `parts` is bound here, so that the text is matched once."""
+        ends = F.aggregate(
+            parts,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
+            lambda a, p: F.struct((a["at"] + F.char_length(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.char_length(p))).alias("ends")),
+            lambda a: a["ends"],
         )
+        laps = F.transform(F.concat(F.array(F.lit("")), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), lambda p: F.right(p, lap))
+        return F.transform(F.arrays_zip(parts.alias("core"), ends.alias("end"), laps.alias("lap")), piece)
+
+    def piece(p: Column, i: Column) -> Column:
+        start = p["end"] - F.char_length(p["core"]) - F.char_length(p["lap"])
+        return F.struct(i.cast("int").alias("piece_no"), start.cast("bigint").alias("start_pos"), p["end"].cast("bigint").alias("end_pos"), F.concat(p["lap"], p["core"]).alias("piece"))
 
-    return F.transform(zipped, piece)
+    return F.when(parts.isNotNull(), F.get(F.transform(F.array(parts), placed), F.lit(0)))
 
 
 def with_limits(sessions: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:
