@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quietlines.plans.tables import plain
+
 #: Levels of nesting the JVM expression covers; deeper lines are judged in Python.
 DEPTH = 4
 
@@ -196,9 +198,9 @@ def rejected_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
         for rows in batches:
             verdicts = [("null", "") if t is None else scan_json(t) for t in rows[raw]]
             bad = [v is not None for v in verdicts]
-            out = rows.loc[bad].reset_index(drop=True)
-            out["reason"] = [v[0] for v in verdicts if v]
-            out["broken_field"] = [v[1] or None for v in verdicts if v]
+            out = plain(rows).loc[bad].reset_index(drop=True)
+            out["reason"] = pd.Series([v[0] for v in verdicts if v], dtype=object)
+            out["broken_field"] = pd.Series([v[1] or None for v in verdicts if v], dtype=object)
             yield out
 
     return suspects.mapInPandas(run, f"{fields}, reason string, broken_field string")
@@ -211,7 +213,7 @@ def valid_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield rows.loc[[t is not None and scan_json(t) is None for t in rows[raw]]].reset_index(drop=True)
+            yield plain(rows).loc[[t is not None and scan_json(t) is None for t in rows[raw]]].reset_index(drop=True)
 
     return df.where(shallow).unionByName(df.where(~shallow).mapInPandas(run, fields))
 

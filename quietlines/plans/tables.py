@@ -40,3 +40,12 @@ def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, salt_from: str,
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+def plain(frame):
+    """A pandas frame whose text columns hold Python objects.
+
+    Selecting no row of an Arrow-backed text column leaves an array without chunks,
+    which cannot be sent back to the JVM.
+    """
+    return frame.astype({c: object for c in frame.columns if str(frame[c].dtype) in ("str", "string", "string[pyarrow]")})

@@ -14,7 +14,7 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quietlines.sources.discovery import Listed, list_root
 
@@ -44,8 +44,8 @@ class TraceLinesReader(DataSourceReader):
             yield (partition.relative_path, number, text)
 
 
-class TraceLinesStream(SimpleDataSourceStreamReader):
-    """New files of a folder, each delivered once; the offset is the list of names seen."""
+class TraceLinesStream(DataSourceStreamReader):
+    """New files of a folder, each delivered once and read on the executors; the offset is the list of names seen."""
 
     def __init__(self, root: str):
         self.root = root
@@ -53,19 +53,19 @@ class TraceLinesStream(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"seen": []}
 
-    def _rows(self, files: list[Listed]) -> Iterator[tuple]:
-        for f in files:
-            for number, text in lines_of(f.path):
-                yield (f.relative_path, number, text)
+    def latestOffset(self) -> dict:
+        return {"seen": sorted(f.relative_path for f in list_root(self.root))}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        seen = set(start["seen"])
-        new = [f for f in list_root(self.root) if f.relative_path not in seen]
-        return self._rows(new), {"seen": sorted(seen | {f.relative_path for f in new})}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         wanted = set(end["seen"]) - set(start["seen"])
-        return self._rows([f for f in list_root(self.root) if f.relative_path in wanted])
+        return [FilePartition(f.path, f.relative_path) for f in list_root(self.root) if f.relative_path in wanted]
+
+    def read(self, partition: FilePartition) -> Iterator[tuple]:
+        for number, text in lines_of(partition.path):
+            yield (partition.relative_path, number, text)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class TraceLines(DataSource):
@@ -81,7 +81,7 @@ class TraceLines(DataSource):
             return TraceLinesReader([tuple(f) for f in json.loads(self.options["files"])])
         return TraceLinesReader([(f.path, f.relative_path) for f in list_root(self.options["path"])])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return TraceLinesStream(self.options["path"])
 
 

@@ -47,7 +47,7 @@ def test_records(spark):
     changed = {
         GOOD: (None, None),
         GOOD.replace("10,", "1o,", 1): ("invalid value of bytes_in", "bytes_in"),
-        GOOD.replace("1.5", "1,5"): ("wrong column count", "duration_seconds"),
+        GOOD.replace("1.5", "1,5"): ("wrong column count", "counts_by_pii_label"),
         GOOD + ",x": ("wrong column count", "counts_by_regex_secret_rule"),
         GOOD[:-1]: ("broken quoting", "counts_by_regex_secret_rule"),
         GOOD.replace("[]", "[1]"): ("invalid value of errors", "errors"),
