@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
@@ -37,6 +38,8 @@ MIN_DOCS, MAX_WORDS, SHARE = 3, 3, 0.25
 LEAST_SUPPORT = 1 / 20_000
 #: Confidence under which a word or a rule says nothing.
 WORD_CONFIDENCE, RULE_CONFIDENCE = 0.22, 0.35
+#: How many times its subject's usual share a rule's confidence must be.
+LIFT = 1.5
 #: Weight of the uncalibrated line in the calibration, in cases.
 PRIOR = 100.0
 #: Weight of the base rate in a rule's confidence, in documents.
@@ -181,11 +184,13 @@ def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
     for w, s, n in rows:
         if s and docs[w] >= MIN_DOCS:
             confidence[frozenset(w.split())][s] = (n + SHRINK / n_subjects) / (docs[w] + SHRINK)
+    total = mining.count()
+    usual = {r["s"]: r["count"] / total for r in mining.select(F.explode("subjects").alias("s")).groupBy("s").count().collect()}  # one row per subject
     rules: Rules = {}
     for words, by_subject in confidence.items():
         for subject, c in by_subject.items():
             general = max((confidence.get(frozenset(sub), {}).get(subject, 0.0) for size in range(1, len(words)) for sub in combinations(sorted(words), size)), default=0.0)
-            if c >= RULE_CONFIDENCE and c > general + 0.02:
+            if c >= max(RULE_CONFIDENCE, LIFT * usual.get(subject, 0.0)) and c > general + 0.02:
                 rules.setdefault(words, []).append((subject, c))
     return rules
 
@@ -221,17 +226,18 @@ def subject_shares(documents: DataFrame, rules: Rules, line: tuple[float, float]
     known = frozenset().union(*rules) if rules else frozenset()
     slope, offset = line
 
+    def subject_of(words: frozenset[str]) -> str | None:
+        best = best_rule(words, rules, known)
+        return best[0] if best and slope * math.log(best[1] / (1 - min(best[1], 0.999))) + offset >= 0 else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recall = lru_cache(1 << 16)(subject_of)  # units repeat the same telling words
         for rows in batches:
             out = []
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
                 found = units(text)
-                about: Counter = Counter()
-                for unit in found:
-                    if best := best_rule(unit, rules, known):
-                        odds = math.log(best[1] / (1 - min(best[1], 0.999)))
-                        if slope * odds + offset >= 0:
-                            about[best[0]] += 1
+                about: Counter = Counter(recall(unit & known) for unit in found)
+                del about[None]
                 out += [(doc, s, len(found), n) for s, n in about.items()]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "n_units", "n_about"])
 
