@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietlines.plans.tables import durable
+from quietlines.plans.tables import durable, plain
 
 KINDS = ("email", "phone", "national_id", "address", "name")
 #: Candidates per kind, about, on which the span classifier is fitted.
@@ -307,7 +307,7 @@ def propose(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for rows in batches:
             found = [candidates(t) for t in rows["_text"]]
             has = [bool(f) for f in found]
-            out = rows.loc[has, keep].reset_index(drop=True)
+            out = plain(rows[keep]).loc[has].reset_index(drop=True)
             some = [f for f in found if f]
             for i, name in enumerate(("kinds", "starts", "ends", "votes", "features")):
                 out[name] = pd.Series([[c[i] for c in f] for f in some], dtype=object)
