@@ -1,6 +1,8 @@
 import json
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quietlines import api
@@ -8,6 +10,8 @@ from quietlines.config import ModelRedactionError, RedactionConfig
 from quietlines.functions import text as tx
 from quietlines.operators import json_lines, model
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers cannot import this module
+
 POSITIVE = "call_id id ID uuid sessionId parentUuid requestId promptId tool_use_id messageId leafUuid sourceToolAssistantUUID menu_item_id".split()
 NEGATIVE = "valid android grid void hybrid candid paid role content name email type key model".split()
 
