@@ -41,8 +41,10 @@ SHAPES = ("uuid", "short_id", "time", "small", "middle", "large", "fraction", "t
 WORDS, CONTEXT, SLOTS = 24, 24, 16
 WIDTH = len(SHAPES) + WORDS + CONTEXT
 SUMS = ["n", "nn", *(f"t{i}" for i in range(len(TYPES))), *(f"p{i}" for i in range(WIDTH)), *(f"c{i}" for i in range(SLOTS))]
-#: Score above which a correspondence counts, and rounds of propagation at most.
-ACCEPT, ROUNDS = 0.5, 40
+#: Score above which a correspondence counts.
+ACCEPT = 0.5
+#: Change under which propagation has come to rest, and its rounds at most.
+STILL, ROUNDS = 1e-6, 400
 
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _SHORT = re.compile(r"[a-z]?[0-9a-f]{6,40}|[a-z]{1,4}_[0-9a-zA-Z]{6,}")
@@ -245,40 +247,47 @@ def value_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return 0.75 * values + 0.25 * company
 
 
-def flood(left: dict[str, set[str]], right: dict[str, set[str]], start: np.ndarray, names: tuple[list[str], list[str]]) -> np.ndarray:
+def _holds(fields: list[str]) -> np.ndarray:
+    """Nesting edges between the root (0) and the fields (1 on); a field without a parent hangs on the root."""
+    index = {f: i for i, f in enumerate(fields, 1)}
+    edges = np.zeros((len(fields) + 1, len(fields) + 1))
+    for f, i in index.items():
+        edges[index.get(f.rpartition(".")[0], 0), i] = 1.0
+    return edges
+
+
+def _typed(types: list[set[str]]) -> np.ndarray:
+    """Type edges of the root, which has none, and of the fields."""
+    return np.array([[0.0] * len(TYPES), *([float(t in held) for t in TYPES] for held in types)])
+
+
+def flood(left: dict[str, set[str]], right: dict[str, set[str]], start: np.ndarray) -> np.ndarray:
     """Similarity flooding over the pairs of two schema graphs.
 
     `left` and `right` give each field its types; nesting comes from the dots in names.
-    Pairs are linked where both fields nest in each other's counterpart, or share a
-    type; similarity flows along links, split evenly over the links of a pair.
+    Pairs of fields are linked with the pair of their parents and with each type that
+    both have; similarity flows along links both ways, split evenly over the links of a
+    pair by label, until nothing changes.
     """
-    fields_a, fields_b = names
-    index_a, index_b = {f: i for i, f in enumerate(fields_a)}, {f: i for i, f in enumerate(fields_b)}
-    links: list[tuple[tuple[int, int], tuple[int, int]]] = []
-    for a in fields_a:
-        for b in fields_b:
-            pa, pb = a.rpartition(".")[0], b.rpartition(".")[0]
-            if pa and pb and pa in index_a and pb in index_b:
-                links.append(((index_a[pa], index_b[pb]), (index_a[a], index_b[b])))
-    if not links:
-        return start
-    fan: dict[tuple[int, int], int] = defaultdict(int)
-    for parent, child in links:
-        fan[parent] += 1
-        fan[child] += 1
-    now = start.copy()
+    holds_a, holds_b, typed_a, typed_b = _holds(list(left)), _holds(list(right)), _typed(list(left.values())), _typed(list(right.values()))
+    down = 1.0 / np.maximum(np.outer(holds_a.sum(1), holds_b.sum(1)), 1.0)
+    up = 1.0 / np.maximum(np.outer(holds_a.sum(0), holds_b.sum(0)), 1.0)
+    shared = 1.0 / np.maximum(typed_a @ typed_b.T, 1.0)
+    users = 1.0 / np.maximum(typed_a.sum(0) * typed_b.sum(0), 1.0)
+    pairs0, types0 = np.zeros((len(left) + 1, len(right) + 1)), np.ones(len(TYPES))
+    pairs0[0, 0], pairs0[1:, 1:] = 1.0, start
+    pairs, types = pairs0, types0
     for _ in range(ROUNDS):
-        flow = np.zeros_like(now)
-        for parent, child in links:
-            flow[child] += (start[parent] + now[parent]) / fan[parent]
-            flow[parent] += (start[child] + now[child]) / fan[child]
-        new = start + now + flow
-        new /= max(new.max(), 1e-9)
-        if np.abs(new - now).max() < 1e-4:
-            now = new
+        p, t = pairs0 + pairs, types0 + types
+        new_pairs = p + holds_a.T @ (p * down) @ holds_b + holds_a @ (p * up) @ holds_b.T + (typed_a * (t * users)) @ typed_b.T
+        new_types = t + ((typed_a.T @ (p * shared)) * typed_b.T).sum(1)
+        top = max(new_pairs.max(), new_types.max())
+        new_pairs, new_types = new_pairs / top, new_types / top
+        moved = max(np.abs(new_pairs - pairs).max(), np.abs(new_types - types).max())
+        pairs, types = new_pairs, new_types
+        if moved < STILL:
             break
-        now = new
-    return now / max(now.max(), 1e-9) * start.max()
+    return pairs[1:, 1:]
 
 
 def correspondences(fields: dict[str, dict], expected: dict[str, str], profiles: dict[str, dict], slots: dict[str, int]) -> dict[str, list[str]]:
@@ -287,7 +296,7 @@ def correspondences(fields: dict[str, dict], expected: dict[str, str], profiles:
     `fields` are the statistics of a file, `profiles` those of the agent's baseline
     fields wherever they stand under their own name.
     """
-    extra = sorted(f for f in fields if f and f not in expected and fields[f]["nn"] > 0 and (not f.startswith("input.") or "input" in expected))
+    extra = sorted(f for f in fields if f and f not in expected and fields[f]["nn"] > 0)
     wanted = sorted(expected)
     if not extra:
         return {}
@@ -302,9 +311,15 @@ def correspondences(fields: dict[str, dict], expected: dict[str, str], profiles:
             if fields[x]["nn"] >= 3:
                 alike *= 1.0 - 0.5 * abs(float(fields[x]["low"] == fields[x]["high"]) - steady) if max(steady, 1 - steady) > 0.8 else 1.0
             scores[i, j] = (0.7 * alike + 0.3 * name_similarity(x, b)) * (1.0 - min(everywhere * 1.5, 1.0))
-    types_x = {x: {t for t, n in zip(TYPES, fields[x]["t"], strict=True) if n} for x in extra}
-    flooded = flood(types_x, {b: {expected[b]} for b in wanted}, scores, (extra, wanted))
-    score = 0.8 * scores + 0.2 * flooded
+    if not scores.any():
+        return {}
+    # The graphs hold every field: what stands under its own name carries similarity to its neighbours.
+    held = sorted(f for f in fields if f)
+    types = {f: {t for t, n in zip(TYPES, fields[f]["t"], strict=True) if n} for f in held}
+    start = np.array([scores[extra.index(f)] if f in extra else [float(f == b) for b in wanted] for f in held])
+    flooded = flood(types, {b: {expected[b]} for b in wanted}, start)[[held.index(x) for x in extra]]
+    # Back to the scale of the start, on which a score is accepted.
+    score = 0.8 * scores + 0.2 * flooded * (scores.max() / flooded[scores > 0].max())
     found: dict[str, list[str]] = {}
     order = sorted(((score[i, j], x, b) for i, x in enumerate(extra) for j, b in enumerate(wanted) if scores[i, j] > 0), key=lambda s: (-s[0], s[1], s[2]))
     used: set[str] = set()

@@ -1,0 +1,31 @@
+import numpy as np
+
+from quietlines.operators import drift
+
+
+def test_flooding_uses_types_and_nesting():
+    right = {"agent": {"string"}, "input": {"object"}, "input.cmd": {"string"}}
+    # Equal starts: the field of the shared type and the field inside the shared parent gain more.
+    left = {"agent": {"string"}, "input": {"object"}, "input.a": {"string"}, "input.b": {"number"}, "x": {"string"}}
+    start = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0.6], [0, 0, 0.6], [0, 0, 0.6]])
+    got = drift.flood(left, right, start)[:, 2]
+    assert got[2] > got[3] and got[2] > got[4]
+
+
+def _field(types, **more):
+    held = {"nn": 2, "low": 1, "high": 2, "all": 2, "t": [types.count(t) for t in drift.TYPES], "together": [0] * drift.SLOTS, "p": np.zeros(drift.WIDTH), "c": [0] * drift.SLOTS}
+    return held | more
+
+
+def test_flooding_changes_the_choice():
+    expected = {"agent": "string", "input": "object", "input.command": "string", "text": "string"}
+    slots = {f: i for i, f in enumerate(expected)}
+    shape = np.zeros(drift.WIDTH)
+    shape[0] = 1.0
+    other = shape.copy()
+    other[1] = 0.05  # a little less like the expected values, but of the expected type
+    profiles = {b: {"p": shape, "steady": 0.5} for b in expected}
+    fields = {"agent": _field(["string"]), "text": _field(["string"]), "input": _field(["object"]), "input.aaa": _field(["string"], p=other), "input.zzz": _field(["boolean"], p=shape)}
+    start = {x: 0.7 * drift.value_similarity(fields[x]["p"], shape) + 0.3 * drift.name_similarity(x, "input.command") for x in ("input.aaa", "input.zzz")}
+    assert start["input.zzz"] > start["input.aaa"]
+    assert drift.correspondences(fields, expected, profiles, slots)["input.command"][0] == "input.aaa"
