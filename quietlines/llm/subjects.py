@@ -31,11 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that rules are mined from, at most; every fifth calibrates.
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 20_000
 #: Documents that must support a rule, words in a rule, and the least share of units.
 MIN_DOCS, MAX_WORDS, SHARE = 3, 3, 0.25
-#: Share of the baskets that must hold a word set.
-LEAST_SUPPORT = 1 / 20_000
 #: Confidence under which a word or a rule says nothing.
 WORD_CONFIDENCE, RULE_CONFIDENCE = 0.22, 0.35
 #: How many times its subject's usual share a rule's confidence must be.
@@ -149,7 +147,8 @@ def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
         total = transactions.count()
         if not total:
             return {}
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(MIN_DOCS / total, LEAST_SUPPORT)), minConfidence=WORD_CONFIDENCE).fit(transactions)
+        # The fraction asks for MIN_DOCS baskets at every size; the half keeps rounding from asking for one more.
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (MIN_DOCS - 0.5) / total), minConfidence=WORD_CONFIDENCE).fit(transactions)
         mined = (
             model.associationRules.where(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda i: i.startswith("=")) & (F.size("antecedent") <= MAX_WORDS))
             .select(F.array_join(F.array_sort("antecedent"), " ").alias("words"), F.element_at("consequent", 1).alias("subject"), "confidence")
