@@ -411,8 +411,11 @@ def _as_fields(rows: list) -> dict[str, dict]:
     return out
 
 
-def match_files(schemas: DataFrame, expected: dict[str, dict[str, str]]) -> DataFrame:
-    """(relative_path, agent, field_name, other_name, change_kind); one task row per file, no group is gathered."""
+def match_files(schemas: DataFrame, expected: dict[str, dict[str, str]], moves_only: bool = False) -> DataFrame:
+    """(relative_path, agent, field_name, other_name, change_kind); one task row per file, no group is gathered.
+
+    With `moves_only`, every rename and nothing else, also inside an `input` that has changed itself.
+    """
     profiles = baseline_profiles(schemas, expected)
     slots = {agent: {f: i for i, f in enumerate(fields)} for agent, fields in expected.items()}
 
@@ -422,7 +425,7 @@ def match_files(schemas: DataFrame, expected: dict[str, dict[str, str]]) -> Data
             for path, agent, held in zip(rows["relative_path"], rows["file_agent"], rows["fields"], strict=True):
                 fields = _as_fields(held)
                 moved = correspondences(fields, expected[agent], profiles.get(agent, {}), slots[agent])
-                for field, change in changes(fields, expected[agent], moved):
+                for field, change in [(b, "renamed") for b in moved] if moves_only else changes(fields, expected[agent], moved):
                     for other in moved[field] if change == "renamed" else [None]:
                         out.append((path, agent, field, other, change))
             yield pd.DataFrame(out, columns=["relative_path", "agent", "field_name", "other_name", "change_kind"])
@@ -436,36 +439,57 @@ def schema_changes(lines: DataFrame, baseline: DataFrame) -> DataFrame:
     return match_files(durable(file_schemas(lines, expected)), expected)
 
 
+def restored(line: dict, fields: dict[str, str], back: dict[str, str]) -> tuple[dict[str, object], dict[str, object]]:
+    """(values by baseline field, other fields) of a line; `back` gives new names their baseline field.
+
+    What the baseline does not have inside `input` stays in the value of `input`.
+    """
+    held: dict[str, object] = {}
+    extra: dict[str, object] = {}
+    for k, v in line.items():
+        name = k if k in fields else back.get(k)
+        if name not in fields:
+            extra[k] = v
+        elif held.get(name) is None:
+            held[name] = v
+    if isinstance(held.get("input"), dict) and any(f.startswith("input.") for f in fields):
+        inside: dict[str, object] = {}
+        for k, v in held["input"].items():
+            name = f"input.{k}" if f"input.{k}" in fields else back.get(f"input.{k}", f"input.{k}")
+            if inside.get(name) is None:
+                inside[name] = v
+        held |= {f: v for f, v in inside.items() if f in fields and v is not None}
+        held["input"] = {f.removeprefix("input."): v for f, v in inside.items()}
+    return held, extra
+
+
 def consistent_table(lines: DataFrame, baseline: DataFrame, agent: str) -> DataFrame:
-    """All lines of an agent's files with the baseline's columns, renamed fields put back and values cast.
+    """All lines of an agent with the baseline's columns, renamed fields put back and values cast.
 
-    A value that cannot be cast to the baseline's type becomes null; `extra` keeps the
-    fields the baseline does not have, as JSON.
+    A line that names no known agent belongs to its file's agent. A value that cannot be
+    cast to the baseline's type becomes null; `extra` keeps the fields the baseline does
+    not have, as JSON.
     """
     expected = read_baseline(baseline)
-    fields = expected[agent]
-    moved = schema_changes(lines, baseline).where((F.col("change_kind") == "renamed") & (F.col("agent") == agent))
+    columns = list(expected[agent])
+    schemas = durable(file_schemas(lines, expected))
+    moved = match_files(schemas, expected, moves_only=True).where(F.col("agent") == agent)
     renames = moved.groupBy("relative_path").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("other_name", "field_name")))).alias("renames"))
+    files = schemas.select("relative_path", "file_agent").join(renames, "relative_path", "left")
     casts = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
-    columns = [f for f in fields if "." not in f]
-    kinds = {c: casts[fields[c]] for c in columns}
+    kinds = {c: casts[expected[agent][c]] for c in columns}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for line_id, path, raw, names in zip(rows["line_id"], rows["relative_path"], rows["raw"], rows["renames"], strict=True):
+            for line_id, path, raw, of_file, names in zip(rows["line_id"], rows["relative_path"], rows["raw"], rows["file_agent"], rows["renames"], strict=True):
                 line = parse_object(raw)
-                if line is None or line.get("agent", agent) != agent:
+                if line is None:
                     continue
-                back = dict(names) if names is not None else {}
-                held: dict[str, object] = {}
-                extra: dict[str, object] = {}
-                for k, v in line.items():
-                    if k in columns or back.get(k) in columns:
-                        if held.get(back.get(k, k)) is None:
-                            held[back.get(k, k)] = v
-                    else:
-                        extra[k] = v
+                named = line.get("agent")
+                if (named if isinstance(named, str) and named in expected else of_file) != agent:
+                    continue
+                held, extra = restored(line, expected[agent], dict(names) if names is not None else {})
                 out.append((line_id, path, *(cast_value(held.get(c), kinds[c]) for c in columns), json.dumps(extra, ensure_ascii=False) if extra else None))
             frame = pd.DataFrame(out, columns=["line_id", "relative_path", *columns, "extra"])
             for c in columns:
@@ -474,7 +498,7 @@ def consistent_table(lines: DataFrame, baseline: DataFrame, agent: str) -> DataF
             yield frame
 
     schema = "line_id bigint, relative_path string, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", extra string"
-    return lines.select("line_id", "relative_path", "raw").join(renames, "relative_path", "left").mapInPandas(run, schema)
+    return lines.select("line_id", "relative_path", "raw").join(files, "relative_path", "left").mapInPandas(run, schema)
 
 
 def cast_value(value: object, kind: str) -> object:

@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 
 from quietlines.operators import drift
@@ -29,3 +31,21 @@ def test_flooding_changes_the_choice():
     start = {x: 0.7 * drift.value_similarity(fields[x]["p"], shape) + 0.3 * drift.name_similarity(x, "input.command") for x in ("input.aaa", "input.zzz")}
     assert start["input.zzz"] > start["input.aaa"]
     assert drift.correspondences(fields, expected, profiles, slots)["input.command"][0] == "input.aaa"
+
+
+def test_the_table_restores_fields_inside_input_and_keeps_lines_by_agent(spark):
+    expected = {"codex": ("agent", "ts", "seq", "input", "input.cmd", "input.cwd"), "claude-code": ("agent", "ts", "type")}
+    kinds = {"seq": "number", "input": "object"}
+    base = spark.createDataFrame([(a, f, kinds.get(f, "string")) for a, fields in expected.items() for f in fields], "agent string, field_name string, json_type string")
+    at = [f"2025-01-01T00:00:{i:02d}Z" for i in range(12)]
+    made = [("plain", {"agent": "codex", "ts": t, "seq": i, "input": {"cmd": f"git log -n {i}", "cwd": f"/srv/a{i}"}}) for i, t in enumerate(at)]
+    made += [("moved", {"agent": "codex", "ts": t, "seq": i, "input": {"cmd": f"git log -n {i}", "workdir": f"/srv/a{i}", "more": 1}}) for i, t in enumerate(at)]
+    made += [("claude", {"agent": "claude-code", "ts": t, "type": "user"}) for t in at]
+    made += [("claude", {"ts": at[0]}), ("moved", {}), ("moved", {"agent": "codex", "input": "git log"}), ("none", {"zzz": 1}), (None, {"agent": "codex", "seq": 7})]
+    lines = spark.createDataFrame([(i, p, json.dumps(x)) for i, (p, x) in enumerate(made)], "line_id long, relative_path string, raw string")
+    got = {r["line_id"]: r for r in drift.consistent_table(lines, base, "codex").collect()}
+    assert set(got) == {*range(24), 37, 38, 40}
+    assert (got[12]["input.cmd"], got[12]["input.cwd"]) == ("git log -n 0", "/srv/a0") == (got[0]["input.cmd"], got[0]["input.cwd"])
+    assert json.loads(got[12]["input"]) == {"cmd": "git log -n 0", "cwd": "/srv/a0", "more": 1} and got[12]["extra"] is None
+    assert got[38]["input"] == "git log" and got[38]["input.cmd"] is None and got[40]["seq"] == 7
+    assert set(r["line_id"] for r in drift.consistent_table(lines, base, "claude-code").collect()) == {*range(24, 37)}
