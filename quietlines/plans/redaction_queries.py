@@ -100,10 +100,10 @@ def secret_gate_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_leaf_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Redactable strings of each line that is a JSON object, and their characters."""
-    lines = table(spark, d, "trace_lines").select("line_id", "raw").where(F.col("raw").startswith("{") & F.col("raw").endswith("}"))
-    leaves = json_lines.json_leaves(lines)
-    invalid = (F.size("leaves") == 1) & F.get("leaves", F.lit(0))["key"].isNull()
+    """Redactable strings of each line that is valid JSON of any kind, and their characters."""
+    leaves = json_lines.json_leaves(table(spark, d, "trace_lines").select("line_id", "raw").where("raw IS NOT NULL"))
+    # A line that does not parse is one leaf, itself; a bare string's leaf lacks the quotes.
+    invalid = F.exists("leaves", lambda x: (x["path"] == "$") & (x["value"] == F.col("raw")))
     return leaves.where(~invalid).select("line_id", F.size("leaves").cast("bigint").alias("n_leaves"), F.aggregate("leaves", F.lit(0).cast("bigint"), lambda a, x: a + F.char_length(x["value"])).alias("chars"))
 
 
