@@ -14,7 +14,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietlines.config import RedactionConfig
@@ -47,6 +47,17 @@ def parse_line(raw: str) -> tuple[object, bool]:
         return raw, True
 
 
+def invalid_json(raw: Column) -> Column:
+    """Whether a line does not parse; the missing line too."""
+
+    @F.pandas_udf("boolean")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lines in batches:
+            yield pd.Series([t is None or parse_line(t)[1] for t in lines], dtype=bool)
+
+    return run(raw)
+
+
 def dump_line(value: object, invalid: bool) -> str:
     return value if invalid else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 

@@ -130,7 +130,7 @@ def per_file_report(spark: SparkSession, d: str) -> DataFrame:
 
 def file_lines(spark: SparkSession, d: str) -> DataFrame:
     """The parts of the per-file report that need no rules."""
-    lines = table(spark, d, "trace_lines").select("relative_path", "line_number", "raw", F.col("raw").alias("output"), (~F.col("raw").startswith("{")).alias("invalid_json"))
+    lines = table(spark, d, "trace_lines").select("relative_path", "line_number", "raw", F.col("raw").alias("output"), json_lines.invalid_json(F.col("raw")).alias("invalid_json"))
     none = F.create_map().cast("map<string,bigint>")
     report = reports.file_report(lines.withColumn("regex_counts", none).withColumn("pii_counts", none))
     return report.select("input_relative_path", "bytes_in", "lines_processed", "invalid_json_lines", F.array_join("warnings", "|").alias("warnings"))
