@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 20_000
 #: Documents that must support a rule, words in a rule, and the least share of units.
 MIN_DOCS, MAX_WORDS, SHARE = 3, 3, 0.25
+#: Words of a wordy unit that always share a basket.
+GROUP = 3
 #: Confidence under which a word or a rule says nothing.
 WORD_CONFIDENCE, RULE_CONFIDENCE = 0.22, 0.35
 #: How many times its subject's usual share a rule's confidence must be.
@@ -111,6 +113,14 @@ def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def covering(words: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Baskets in which any MAX_WORDS words of a unit stand together; a wordy unit gives several, so that none breeds endless subsets."""
+    if len(words) <= MAX_WORDS * GROUP:
+        return [words]
+    groups = [words[at : at + GROUP] for at in range(0, len(words), GROUP)]
+    return [sum(some, ()) for some in combinations(groups, MAX_WORDS)]
+
+
 def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
     """Rules from the part of the sample that is not held out."""
     mining = sample.where("NOT held_out")
@@ -136,10 +146,8 @@ def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
             out = []
             for text, subjects in zip(rows["text"], rows["subjects"], strict=True):
                 marks = [f"={s}" for s in subjects]
-                # A wordy unit is cut to overlapping stretches, so that no basket breeds endless subsets.
-                for basket in {tuple(sorted(u & kept)) for u in units(text)} - {()}:
-                    for at in range(0, max(len(basket) - 4, 1), 4):
-                        out.append([*basket[at : at + 8], *marks])
+                for words in {tuple(sorted(u & kept)) for u in units(text)} - {()}:
+                    out += [[*basket, *marks] for basket in covering(words)]
             yield pd.DataFrame({"items": pd.Series(out, dtype=object)})
 
     transactions = _mapped(mining, baskets, "items array<string>").persist()

@@ -1,3 +1,5 @@
+from itertools import combinations
+
 from quietlines.llm import subjects
 
 
@@ -11,3 +13,14 @@ def test_three_documents_make_a_rule_at_every_size(spark):
 
 def test_the_labelled_sample_keeps_its_bound():
     assert subjects.TRAIN_DOCS == 20_000
+
+
+def test_words_far_apart_in_a_wordy_unit_share_a_rule(spark):
+    words = tuple(f"w{chr(97 + i)}" for i in range(14))
+    for k in (1, 9, 10, 14):
+        assert {c for b in subjects.covering(words[:k]) for c in combinations(b, 3)} == set(combinations(words[:k], 3))
+        assert {c for b in subjects.covering(words[:k]) for c in combinations(b, 2)} == set(combinations(words[:k], 2))
+    middle = " ".join(f"m{chr(97 + i)}" for i in range(10))
+    rows = [(f"aa {middle} zz.", ["law"], False)] * 3 + [("aa.", ["sea"], False), ("zz.", ["sea"], False)] * 4
+    rules = subjects.mine_rules(spark.createDataFrame(rows, "text string, subjects array<string>, held_out boolean"), 2)
+    assert [s for s, _ in rules[frozenset(["aa", "zz"])]] == ["law"]
