@@ -31,7 +31,7 @@ from quietlines.plans.tables import durable, plain
 
 KINDS = ("email", "phone", "national_id", "address", "name")
 #: Candidates per kind, about, on which the span classifier is fitted.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 8000
 #: Length of the classifier's weight vector; features are hashed into it.
 BUCKETS = 4096
 #: Rounds of expectation maximisation at most.
