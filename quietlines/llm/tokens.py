@@ -70,8 +70,6 @@ class Vocabulary:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(text) <= RUN:
-            return self.encoding.encode_ordinary(text)
         stream, ids = Transducer(self), []
         for at in range(0, len(text), BLOCK):
             ids += stream.feed(text[at : at + BLOCK])
