@@ -1,17 +1,19 @@
 """Problem 5: schemas that drift between files, brought to one table per agent.
 
 Method: similarity flooding. Each file becomes a small schema graph (fields, nesting,
-JSON types), the expected schema of its agent another; pairs of nodes start with the
-similarity of their names and of the values seen under them and propagate it along
-edges with equal labels until nothing changes. Of the pairs that are possible (a
-baseline field never stands beside its own new name in a line) the best consistent
-correspondences are selected; from them follow renamed, removed, added and retyped
-fields, and the casts that bring all files into one table.
+JSON types), the expected schema of its agent another; pairs of fields start with the
+similarity of their names and of the values seen under them and pass it on along edges
+with equal labels, damped, until nothing changes. Of the pairs that are possible (a
+baseline field never stands beside its own new name in a line) the flooded similarity
+selects the best consistent correspondences; from them follow renamed, removed, added
+and retyped fields, and the casts that bring all files into one table.
 
 Lines are folded to per-file field statistics inside each partition before the shuffle
 (counts by type, value and context histograms of fixed length), so that a hot file
-sends one row per field and task, never its lines. What is known of an agent's baseline
-fields is a table as long as the baseline, which is fixed.
+sends one row per field and task, never its lines. What is known of the baseline's
+fields is a table as long as the baseline, which is fixed. A file's graph is gathered
+from its baseline fields and from those other fields whose start leaves any chance of a
+correspondence; all others are additions without being gathered.
 
 Defined results: lines that are no valid JSON object count for nothing; a file whose
 lines name no known agent is compared with none and has no rows; repeated lines change
@@ -24,27 +26,36 @@ import json
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quietlines.operators.rejects import scan_json
-from quietlines.plans.tables import durable
+from quietlines.plans.tables import durable, salted_lookup
 
 TYPES = ("string", "number", "boolean", "array", "object")
 # Kinds of values that a histogram tells apart.
 SHAPES = ("uuid", "short_id", "time", "small", "middle", "large", "fraction", "truth", "path", "version", "command", "prose", "object", "list", "text", "empty")
-WORDS, CONTEXT, SLOTS = 24, 24, 16
-WIDTH = len(SHAPES) + WORDS + CONTEXT
-SUMS = ["n", "nn", *(f"t{i}" for i in range(len(TYPES))), *(f"p{i}" for i in range(WIDTH)), *(f"c{i}" for i in range(SLOTS))]
-#: Score above which a correspondence counts.
-ACCEPT = 0.5
-#: Change under which propagation has come to rest, and its rounds at most.
-STILL, ROUNDS = 1e-6, 400
+WORDS, CONTEXT = 24, 24
+OWN = len(SHAPES) + WORDS
+WIDTH = OWN + CONTEXT
+COUNTS = ["n", "nn", *(f"t{i}" for i in range(len(TYPES))), *(f"p{i}" for i in range(WIDTH))]
+#: Share of a pair's similarity that comes from its neighbours, in every round.
+DAMP = 0.2
+#: Flooded similarity from which a correspondence counts, and what a second name must have more.
+ACCEPT, SECOND = 0.575, 0.07
+#: Change under which propagation has come to rest.
+STILL = 1e-6
+#: Between a field and a key inside its object, where that field is not `input`.
+INSIDE = "\x1f"
+#: Values up to this length are classified once and remembered.
+REMEMBERED = 64
 
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _SHORT = re.compile(r"[a-z]?[0-9a-f]{6,40}|[a-z]{1,4}_[0-9a-zA-Z]{6,}")
@@ -159,64 +170,131 @@ def flat_fields(line: dict) -> dict[str, object]:
     return fields
 
 
-def field_statistics(lines: DataFrame, baseline: dict[str, dict[str, str]], path: str = "relative_path", raw: str = "raw") -> DataFrame:
-    """(path, agent, field, sums, lowest and highest value hash), folded per batch then per file."""
-    slots = {agent: {f: i for i, f in enumerate(fields)} for agent, fields in baseline.items()}
+@lru_cache(1 << 16, typed=True)
+def _scalar_profile(value: object) -> tuple[int, int, int, int]:
+    shape, word = value_shape(value)
+    own = len(SHAPES) + _bucket(word, WORDS) if word else SHAPES.index(shape)
+    return TYPES.index(json_type(value)), own, _bucket(word, CONTEXT) if word else -1, zlib.crc32(repr(value).encode("utf-8", "replace"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        folded: dict[tuple, list] = {}
-        kept = 0
 
-        def out() -> pd.DataFrame:
-            frame = pd.DataFrame([(*k, v[1], v[2], *v[0].tolist()) for k, v in folded.items()], columns=[path, "agent", "field", "low", "high", *SUMS])
-            folded.clear()
-            return frame
+def profile(value: object) -> tuple[int, int, int, int]:
+    """(type, place in the value histogram, context bucket or -1, hash) of a value that is not null."""
+    if isinstance(value, (dict, list)):
+        shape, word = value_shape(value)
+        own = len(SHAPES) + _bucket(word, WORDS) if word else SHAPES.index(shape)
+        return TYPES.index(json_type(value)), own, _bucket(word, CONTEXT) if word else -1, 0
+    if isinstance(value, str) and len(value) > REMEMBERED:
+        return _scalar_profile.__wrapped__(value)
+    return _scalar_profile(value)
 
-        for rows in batches:
-            for file, text in zip(rows[path], rows[raw], strict=True):
+
+def field_slots(expected: dict[str, dict[str, str]]) -> dict[str, int]:
+    """A number for every field name of the baseline, whatever the agent."""
+    return {f: i for i, f in enumerate(sorted({f for fields in expected.values() for f in fields}))}
+
+
+class Fold:
+    """Statistics of the fields of files, folded line by line.
+
+    The row of a file for the field `""` counts lines in `n` and, in the first slots,
+    the lines that name each known agent.
+    """
+
+    def __init__(self, expected: dict[str, dict[str, str]]):
+        self.slots = field_slots(expected)
+        self.agents = {a: i for i, a in enumerate(sorted(expected))}
+        self.inside = sorted({f.partition(".")[2] for f in self.slots if "." in f})
+        self.wide = 2 + len(TYPES) + WIDTH + max(len(self.slots), len(self.agents), 1)
+        self.rows: dict[tuple[str, str], list] = {}  # (file, field) -> [counts, lowest hash, highest hash]
+        self.company: Counter = Counter()  # (file, fields, context buckets) -> lines
+
+    def _row(self, file: str, field: str) -> list:
+        held = self.rows.get((file, field))
+        if held is None:
+            held = self.rows[file, field] = [[0] * self.wide, None, None]
+        return held
+
+    def add(self, file: str, line: dict) -> None:
+        counts = self._row(file, "")[0]
+        counts[0] += 1
+        named = line.get("agent")
+        if isinstance(named, str) and named in self.agents:
+            counts[2 + len(TYPES) + WIDTH + self.agents[named]] += 1
+        names, words = [], []
+        for field, value in flat_fields(line).items():
+            held = self._row(file, field)
+            counts = held[0]
+            counts[0] += 1
+            if value is None:
+                continue
+            kind, own, context, mark = profile(value)
+            counts[1] += 1
+            counts[2 + kind] += 1
+            counts[2 + len(TYPES) + own] += 1
+            if held[1] is None:
+                held[1] = held[2] = mark
+            elif mark < held[1]:
+                held[1] = mark
+            elif mark > held[2]:
+                held[2] = mark
+            names.append(field)
+            words.append(context if context >= 0 and field != "agent" and not field.startswith("input.") else -1 - context)
+            if isinstance(value, dict) and field != "input":
+                for key in self.inside:
+                    if value.get(key) is not None:
+                        counts = self._row(file, field + INSIDE + key)[0]
+                        counts[0] += 1
+                        counts[1] += 1
+                        counts[2 + TYPES.index(json_type(value[key]))] += 1
+        self.company[file, tuple(names), tuple(words)] += 1
+
+    def columns(self) -> list[pa.Array]:
+        """The rows as Arrow columns; the fold is empty afterwards."""
+        at, after = 2 + len(TYPES) + OWN, 2 + len(TYPES) + WIDTH
+        for (file, names, words), n in self.company.items():
+            context = {w for w in words if w >= 0}
+            present = [after + self.slots[f] for f in names if f in self.slots]
+            for field, word in zip(names, words, strict=True):
+                counts = self.rows[file, field][0]
+                own = word if word >= 0 else -1 - word
+                for c in context:
+                    if c != own:
+                        counts[at + c] += n
+                for i in present:
+                    counts[i] += n
+        matrix = np.array([r[0] for r in self.rows.values()], np.int64).reshape(len(self.rows), self.wide)
+        keys = list(self.rows)
+        text = lambda part: pa.array([k[part].encode("utf-8", "replace").decode() for k in keys], pa.string())
+        marks = [pa.array([r[i] for r in self.rows.values()], pa.int64()) for i in (1, 2)]
+        self.rows, self.company = {}, Counter()
+        return [text(0), text(1), *marks, *(pa.array(matrix[:, i]) for i in range(self.wide))]
+
+
+def field_statistics(lines: DataFrame, expected: dict[str, dict[str, str]], path: str = "relative_path", raw: str = "raw") -> DataFrame:
+    """(relative_path, file_agent, field, low, high, counts...), one row per field of every file of a known agent."""
+    slots = max(len(field_slots(expected)), len(expected), 1)
+    sums = [*COUNTS, *(f"c{i}" for i in range(slots))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold(expected)
+        names = ["relative_path", "field", "low", "high", *sums]
+        for batch in batches:
+            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 line = parse_object(text)
-                if line is None or file is None:
-                    continue
-                named = line.get("agent")
-                agent = named if isinstance(named, str) and named in baseline else ""
-                fields = flat_fields(line)
-                shapes = {f: value_shape(v) if v is not None else None for f, v in fields.items()}
-                context = {_bucket(s[1], CONTEXT) for f, s in shapes.items() if s and s[1] and f not in ("agent", "input.cwd") and not f.startswith("input.")}
-                present = [i for f, i in slots.get(agent, {}).items() if fields.get(f) is not None]
-                for field, value in (*fields.items(), ("", "")):
-                    key = (file, agent, field)
-                    if key not in folded:
-                        folded[key] = [np.zeros(len(SUMS), np.int64), None, None]
-                    sums = folded[key][0]
-                    sums[0] += 1
-                    if value is None or not field:
-                        continue
-                    sums[1] += 1
-                    sums[2 + TYPES.index(json_type(value))] += 1
-                    shape, word = shapes[field]
-                    at = 2 + len(TYPES)
-                    if word:
-                        sums[at + len(SHAPES) + _bucket(word, WORDS)] += 1
-                    else:
-                        sums[at + SHAPES.index(shape)] += 1
-                    own = _bucket(word, CONTEXT) if word else -1
-                    for c in context:
-                        if c != own:
-                            sums[at + len(SHAPES) + WORDS + c] += 1
-                    for i in present:
-                        sums[at + WIDTH + i] += 1
-                    mark = zlib.crc32(repr(value).encode("utf-8", "replace")) if not isinstance(value, (dict, list)) else 0
-                    low, high = folded[key][1:]
-                    folded[key][1:] = [mark if low is None else min(low, mark), mark if high is None else max(high, mark)]
-            kept = len(folded)
-            if kept > 20_000:
-                yield out()
-        yield out()
-
-    kind = lines.schema[path].dataType.simpleString()
-    schema = f"`{path}` {kind}, agent string, field string, low bigint, high bigint, " + ", ".join(f"{s} bigint" for s in SUMS)
-    partial = lines.select(path, raw).mapInPandas(run, schema)
-    return partial.groupBy(path, "agent", "field").agg(F.min("low").alias("low"), F.max("high").alias("high"), *(F.sum(s).alias(s) for s in SUMS))
+                if line is not None and file is not None:
+                    fold.add(file, line)
+            if len(fold.rows) + len(fold.company) > 20_000:
+                yield pa.RecordBatch.from_arrays(fold.columns(), names)
+        yield pa.RecordBatch.from_arrays(fold.columns(), names)
+
+    schema = "relative_path string, field string, low bigint, high bigint, " + ", ".join(f"{s} bigint" for s in sums)
+    partial = lines.select(F.col(path).cast("string"), raw).mapInArrow(run, schema)
+    whole = partial.groupBy("relative_path", "field").agg(F.min("low").alias("low"), F.max("high").alias("high"), *(F.sum(s).alias(s) for s in sums))
+    # The agent most lines of a file name; lines without one belong to it too.
+    votes = F.array(*(F.struct(F.col(f"c{i}").alias("n"), F.lit(a).alias("agent")) for i, a in enumerate(sorted(expected)))).cast("array<struct<n:bigint,agent:string>>")
+    most = F.when(F.col("field") == "", F.array_max(votes))
+    named = whole.withColumn("_most", F.max(most).over(Window.partitionBy("relative_path")))
+    return named.where("field <> '' AND _most.n > 0").withColumn("file_agent", F.col("_most.agent")).drop("_most")
 
 
 def _name_parts(name: str) -> list[str]:
@@ -224,6 +302,7 @@ def _name_parts(name: str) -> list[str]:
     return [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", last)]
 
 
+@lru_cache(1 << 14)
 def name_similarity(a: str, b: str) -> float:
     """Shared word parts and letter trigrams of two field names, between 0 and 1."""
     pa, pb = set(_name_parts(a)), set(_name_parts(b))
@@ -240,119 +319,133 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 def value_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """How alike the values and the company of two fields are."""
-    own = len(SHAPES) + WORDS
-    values, company = _cosine(a[:own], b[:own]), _cosine(a[own:], b[own:])
-    if not a[own:].any() or not b[own:].any():
+    values, company = _cosine(a[:OWN], b[:OWN]), _cosine(a[OWN:], b[OWN:])
+    if not a[OWN:].any() or not b[OWN:].any():
         return values
     return 0.75 * values + 0.25 * company
 
 
-def _holds(fields: list[str]) -> np.ndarray:
-    """Nesting edges between the root (0) and the fields (1 on); a field without a parent hangs on the root."""
-    index = {f: i for i, f in enumerate(fields, 1)}
-    edges = np.zeros((len(fields) + 1, len(fields) + 1))
-    for f, i in index.items():
-        edges[index.get(f.rpartition(".")[0], 0), i] = 1.0
-    return edges
+def start_similarity(field: dict, name: str, wanted: str, known: dict | None) -> float:
+    """Similarity of a file's field to a baseline field before flooding; `known` is the latter's profile.
+
+    0 where a line of the file holds both; less where both stand together elsewhere.
+    """
+    if name.rpartition(".")[0] != wanted.rpartition(".")[0] or field["beside"] > 0:
+        return 0.0
+    alike = value_similarity(field["p"], known["p"]) if known else 0.5
+    steady = known["steady"] if known else 0.5
+    if field["nn"] >= 3 and max(steady, 1 - steady) > 0.8:
+        alike *= 1.0 - 0.5 * abs(float(field["low"] == field["high"]) - steady)
+    return (0.7 * alike + 0.3 * name_similarity(name, wanted)) * (1.0 - min(field["elsewhere"] * 1.5, 1.0))
+
+
+#: A pair that starts below this cannot come to be accepted, whatever its neighbours.
+CHANCE = (ACCEPT - DAMP) / (1 - DAMP)
+
+
+def parent(name: str) -> str:
+    """The field whose object holds a field, `""` for the object of the line."""
+    return name.rpartition(INSIDE)[0] if INSIDE in name else "input" if name.startswith("input.") else ""
+
 
+class Graph:
+    """Fields of a schema with their types; nesting follows from the names."""
 
-def _typed(types: list[set[str]]) -> np.ndarray:
-    """Type edges of the root, which has none, and of the fields."""
-    return np.array([[0.0] * len(TYPES), *([float(t in held) for t in TYPES] for held in types)])
+    def __init__(self, types: dict[str, set[str]]):
+        self.fields = list(types)
+        index = {f: i for i, f in enumerate(self.fields)}
+        self.parent = np.array([index.get(parent(f), -1) for f in self.fields], int)
+        self.typed = np.array([[t in types[f] for t in TYPES] for f in self.fields], bool).reshape(len(self.fields), len(TYPES))
 
 
-def flood(left: dict[str, set[str]], right: dict[str, set[str]], start: np.ndarray) -> np.ndarray:
+def flood(left: Graph, right: Graph, start: np.ndarray) -> np.ndarray:
     """Similarity flooding over the pairs of two schema graphs.
 
-    `left` and `right` give each field its types; nesting comes from the dots in names.
-    Pairs of fields are linked with the pair of their parents and with each type that
-    both have; similarity flows along links both ways, split evenly over the links of a
-    pair by label, until nothing changes.
+    A pair of fields has up to three kinds of neighbours: the pair of their parents (the
+    two roots are alike), the pairs of their children, each child of `right` with its
+    likest child of `left`, and the pairs of equal types, each as alike as the fields
+    that it has on both sides. What comes from the kinds is averaged and mixed with the
+    start by `DAMP`, so that every round brings the values closer to the only fixpoint.
     """
-    holds_a, holds_b, typed_a, typed_b = _holds(list(left)), _holds(list(right)), _typed(list(left.values())), _typed(list(right.values()))
-    down = 1.0 / np.maximum(np.outer(holds_a.sum(1), holds_b.sum(1)), 1.0)
-    up = 1.0 / np.maximum(np.outer(holds_a.sum(0), holds_b.sum(0)), 1.0)
-    shared = 1.0 / np.maximum(typed_a @ typed_b.T, 1.0)
-    users = 1.0 / np.maximum(typed_a.sum(0) * typed_b.sum(0), 1.0)
-    pairs0, types0 = np.zeros((len(left) + 1, len(right) + 1)), np.ones(len(TYPES))
-    pairs0[0, 0], pairs0[1:, 1:] = 1.0, start
-    pairs, types = pairs0, types0
-    for _ in range(ROUNDS):
-        p, t = pairs0 + pairs, types0 + types
-        new_pairs = p + holds_a.T @ (p * down) @ holds_b + holds_a @ (p * up) @ holds_b.T + (typed_a * (t * users)) @ typed_b.T
-        new_types = t + ((typed_a.T @ (p * shared)) * typed_b.T).sum(1)
-        top = max(new_pairs.max(), new_types.max())
-        new_pairs, new_types = new_pairs / top, new_types / top
-        moved = max(np.abs(new_pairs - pairs).max(), np.abs(new_types - types).max())
-        pairs, types = new_pairs, new_types
+    scores = start.copy()
+    if not scores.size:
+        return scores
+    both = (left.typed[:, None, :] & right.typed[None, :, :]).astype(float)
+    shared = both.sum(2)
+    has_types = left.typed.any(1)[:, None] & right.typed.any(1)[None, :]
+    children = [np.flatnonzero(right.parent == j) for j in range(len(right.fields))]
+    while True:
+        kinds = np.ones_like(scores)
+        flow = np.ones_like(scores)  # the roots
+        nested = left.parent >= 0
+        for j in np.flatnonzero(right.parent >= 0):
+            flow[nested, j] = scores[left.parent[nested], right.parent[j]]
+            flow[~nested, j] = 0.0
+        flow[np.ix_(nested, right.parent < 0)] = 0.0
+        types = np.array([max((scores[left.typed[:, t], j].max() for j in np.flatnonzero(right.typed[:, t]) if left.typed[:, t].any()), default=0.0) for t in range(len(TYPES))])
+        flow = flow + np.where(shared > 0, (both * types).sum(2) / np.maximum(shared, 1.0), 0.0) * has_types
+        kinds = kinds + has_types
+        for j, below in enumerate(children):
+            if len(below):
+                for i in range(len(left.fields)):
+                    own = np.flatnonzero(left.parent == i)
+                    flow[i, j] += scores[np.ix_(own, below)].max(0).mean() if len(own) else 0.0
+                kinds[:, j] += 1
+        new = (1 - DAMP) * start + DAMP * flow / kinds
+        new[start == 0] = 0.0  # what cannot correspond stays apart
+        moved = np.abs(new - scores).max()
+        scores = new
         if moved < STILL:
-            break
-    return pairs[1:, 1:]
+            return scores
 
 
-def correspondences(fields: dict[str, dict], expected: dict[str, str], profiles: dict[str, dict], slots: dict[str, int]) -> dict[str, list[str]]:
+def correspondences(fields: dict[str, dict], expected: dict[str, str]) -> dict[str, list[str]]:
     """Baseline field -> the other names under which a file holds it.
 
-    `fields` are the statistics of a file, `profiles` those of the agent's baseline
-    fields wherever they stand under their own name.
+    `fields` gives every field of the file its `types` and, where it is not of the
+    baseline, its `start` similarity to each baseline field.
     """
-    extra = sorted(f for f in fields if f and f not in expected and fields[f]["nn"] > 0)
     wanted = sorted(expected)
-    if not extra:
+    extra = [f for f in sorted(fields) if f not in expected and INSIDE not in f]
+    if not any(fields[x]["start"].get(b, 0.0) for x in extra for b in wanted):
         return {}
-    scores = np.zeros((len(extra), len(wanted)))
-    for i, x in enumerate(extra):
-        for j, b in enumerate(wanted):
-            if (x.rpartition(".")[0] != b.rpartition(".")[0]) or fields[x]["c"][slots[b]] > 0:
-                continue
-            everywhere = fields[x]["together"][slots[b]] / max(fields[x]["all"], 1)
-            alike = value_similarity(fields[x]["p"], profiles[b]["p"]) if b in profiles else 0.5
-            steady = profiles.get(b, {}).get("steady", 0.5)
-            if fields[x]["nn"] >= 3:
-                alike *= 1.0 - 0.5 * abs(float(fields[x]["low"] == fields[x]["high"]) - steady) if max(steady, 1 - steady) > 0.8 else 1.0
-            scores[i, j] = (0.7 * alike + 0.3 * name_similarity(x, b)) * (1.0 - min(everywhere * 1.5, 1.0))
-    if not scores.any():
-        return {}
-    # The graphs hold every field: what stands under its own name carries similarity to its neighbours.
-    held = sorted(f for f in fields if f)
-    types = {f: {t for t, n in zip(TYPES, fields[f]["t"], strict=True) if n} for f in held}
-    start = np.array([scores[extra.index(f)] if f in extra else [float(f == b) for b in wanted] for f in held])
-    flooded = flood(types, {b: {expected[b]} for b in wanted}, start)[[held.index(x) for x in extra]]
-    # Back to the scale of the start, on which a score is accepted.
-    score = 0.8 * scores + 0.2 * flooded * (scores.max() / flooded[scores > 0].max())
+    held = sorted(fields)
+    at = {b: j for j, b in enumerate(wanted)}
+    start = np.zeros((len(held), len(wanted)))
+    for i, f in enumerate(held):
+        if f in at:
+            start[i, at[f]] = 1.0
+        elif INSIDE in f:  # a key inside some object is like the baseline's key of that name
+            for b, j in at.items():
+                start[i, j] = float(b.rpartition(".")[2] == f.rpartition(INSIDE)[2] and "." in b)
+        else:
+            for b, s in fields[f]["start"].items():
+                start[i, at[b]] = s
+    scores = flood(Graph({f: fields[f]["types"] for f in held}), Graph({b: {expected[b]} for b in wanted}), start)
     found: dict[str, list[str]] = {}
-    order = sorted(((score[i, j], x, b) for i, x in enumerate(extra) for j, b in enumerate(wanted) if scores[i, j] > 0), key=lambda s: (-s[0], s[1], s[2]))
+    order = sorted(((scores[held.index(x), j], x, b) for x in extra for b, j in at.items()), key=lambda s: (-s[0], s[1], s[2]))
     used: set[str] = set()
     for s, x, b in order:
-        if s < ACCEPT or x in used:
-            continue
         # Two names may share a baseline field only if they never stand in one line; a weak second name is an addition.
-        if b in found and s < ACCEPT + 0.1:
+        if s < ACCEPT or x in used or b in found and s < ACCEPT + SECOND:
             continue
         used.add(x)
         found.setdefault(b, []).append(x)
     return found
 
 
-def changes(fields: dict[str, dict], expected: dict[str, str], renamed: dict[str, list[str]]) -> list[tuple[str, str]]:
-    """(field, change) of one file."""
-    found: set[tuple[str, str]] = set()
+def changes(fields: dict[str, dict], expected: dict[str, str], renamed: dict[str, list[str]]) -> list[tuple[str, str, str | None]]:
+    """(field, change, other name) of one file."""
+    found: list[tuple[str, str, str | None]] = []
     moved = {x for names in renamed.values() for x in names}
     for b, kind in expected.items():
-        own = fields.get(b)
-        if b in renamed:
-            found.add((b, "renamed"))
-        elif own is None:
-            found.add((b, "removed"))
-        for name in (b, *renamed.get(b, ())):
-            if name in fields and any(n for t, n in zip(TYPES, fields[name]["t"], strict=True) if t != kind):
-                found.add((b, "retyped"))
-    for x in fields:
-        if x and x not in expected and x not in moved:
-            found.add((x, "added"))
-    if any(f == "input" for f, _ in found):
-        found = {(f, c) for f, c in found if not f.startswith("input.")}
-    return sorted(found)
+        found += [(b, "renamed", x) for x in renamed.get(b, ())]
+        if b not in renamed and b not in fields:
+            found.append((b, "removed", None))
+        if any(fields[name]["types"] - {kind} for name in (b, *renamed.get(b, ())) if name in fields):
+            found.append((b, "retyped", None))
+    found += [(x, "added", None) for x in fields if x not in expected and x not in moved and INSIDE not in x]
+    return found
 
 
 def read_baseline(baseline: DataFrame) -> dict[str, dict[str, str]]:
@@ -363,80 +456,83 @@ def read_baseline(baseline: DataFrame) -> dict[str, dict[str, str]]:
     return expected
 
 
-def file_schemas(lines: DataFrame, expected: dict[str, dict[str, str]]) -> DataFrame:
-    """Per file: its agent and the statistics of its fields, with those of the agent's other files."""
-    stats = durable(field_statistics(lines, expected))
-    per_agent = stats.where("agent <> '' AND field <> ''").groupBy("agent", "field").agg(F.sum("nn").alias("all"), F.array(*(F.sum(f"c{i}") for i in range(SLOTS))).alias("together"))
-    agents = stats.where("agent <> '' AND field = ''").groupBy("relative_path").agg(F.max_by("agent", F.struct("n", "agent")).alias("file_agent"))
-    # A line without a known agent belongs to its file's agent.
-    merged = (
-        stats.where("field <> ''")
-        .join(agents, "relative_path")
-        .groupBy("relative_path", "file_agent", "field")
-        .agg(F.min("low").alias("low"), F.max("high").alias("high"), *(F.sum(s).alias(s) for s in SUMS))
-    )
-    known = merged.join(per_agent.withColumnsRenamed({"agent": "file_agent"}), ["file_agent", "field"], "left")
-    return known.groupBy("relative_path", "file_agent").agg(
-        F.collect_list(
-            F.struct(
-                "field", "low", "high", "n", "nn", "all", "together",
-                F.array(*(f"t{i}" for i in range(len(TYPES)))).alias("t"), F.array(*(f"p{i}" for i in range(WIDTH))).alias("p"), F.array(*(f"c{i}" for i in range(SLOTS))).alias("c"),
-            )
-        ).alias("fields"),
-        F.max(F.lit(1)).alias("one"),
-    ).drop("one")
-
-
-def baseline_profiles(schemas: DataFrame, expected: dict[str, dict[str, str]]) -> dict[str, dict[str, dict]]:
-    """agent -> baseline field -> value histogram and how often it is constant in a file; as long as the baseline."""
+def _is_expected(expected: dict[str, dict[str, str]]) -> Column:
     known = [f"{a}\x1f{f}" for a, fields in expected.items() for f in fields]
-    spread = schemas.select("file_agent", F.explode("fields").alias("f")).where(F.concat_ws("\x1f", "file_agent", "f.field").isin(known) & (F.col("f.nn") > 0))
-    sums = [F.sum(F.get("f.p", F.lit(i)) / F.col("f.nn")).alias(f"p{i}") for i in range(WIDTH)]
-    rows = spread.groupBy("file_agent", "f.field").agg(F.avg((F.col("f.low") == F.col("f.high")).cast("double")).alias("steady"), *sums).collect()
-    found: dict[str, dict[str, dict]] = {}
-    for r in rows:
-        found.setdefault(r["file_agent"], {})[r["field"]] = {"p": np.array([float(r[f"p{i}"] or 0) for i in range(WIDTH)]), "steady": float(r["steady"] or 0.0)}
-    return found
+    return F.concat_ws("\x1f", "file_agent", "field").isin(known) if known else F.lit(False)
+
+
+def baseline_profiles(stats: DataFrame, expected: dict[str, dict[str, str]]) -> dict[tuple[str, str], dict]:
+    """(agent, baseline field) -> value histogram and how often it is constant in a file; as long as the baseline."""
+    some = stats.where(_is_expected(expected) & (F.col("nn") > 0))
+    sums = [F.sum(F.col(f"p{i}") / F.col("nn")).alias(f"p{i}") for i in range(WIDTH)]
+    rows = some.groupBy("file_agent", "field").agg(F.avg((F.col("low") == F.col("high")).cast("double")).alias("steady"), *sums).collect()
+    return {(r["file_agent"], r["field"]): {"p": np.array([float(r[f"p{i}"] or 0) for i in range(WIDTH)]), "steady": float(r["steady"] or 0.0)} for r in rows}
+
+
+def scored_extras(stats: DataFrame, expected: dict[str, dict[str, str]]) -> DataFrame:
+    """The fields no baseline names: (relative_path, file_agent, field, types, start), with the baseline fields they may stand for."""
+    slots, profiles = field_slots(expected), baseline_profiles(stats, expected)
+    extra = stats.where(~_is_expected(expected) & ~F.col("field").contains(INSIDE))
+    beside = [f"c{i}" for i in range(len(slots))]
+    # How often a name stands beside each baseline field, over all files of its agent.
+    everywhere = extra.groupBy("file_agent", "field").agg(F.sum("nn").alias("all"), F.array(*(F.sum(c) for c in beside)).alias("together"))
+    known = everywhere.withColumn("_key", F.xxhash64("file_agent", "field")).withColumnsRenamed({"file_agent": "_agent", "field": "_field"})
+    joined = salted_lookup(extra.withColumn("_key", F.xxhash64("file_agent", "field")), known, "_key", "relative_path").where("_agent = file_agent AND _field = field")
+    rows = joined.select(
+        "relative_path", "file_agent", "field", "low", "high", "nn", "all", "together",
+        F.array(*(f"t{i}" for i in range(len(TYPES)))).alias("t"), F.array(*(f"p{i}" for i in range(WIDTH))).alias("p"), F.array(*beside).alias("c"),
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                start, p = {}, np.asarray(r.p, float)
+                for b in expected[r.file_agent] if r.nn else ():
+                    field = {"nn": r.nn, "low": r.low, "high": r.high, "p": p, "beside": r.c[slots[b]], "elsewhere": r.together[slots[b]] / max(r.all, 1)}
+                    s = start_similarity(field, r.field, b, profiles.get((r.file_agent, b)))
+                    if s >= CHANCE:
+                        start[b] = s
+                out.append((r.relative_path, r.file_agent, r.field, [t for t, n in zip(TYPES, r.t, strict=True) if n], list(start.items())))
+            yield pd.DataFrame(out, columns=["relative_path", "file_agent", "field", "types", "start"]).assign(start=lambda f: [dict(s) for s in f["start"]])
 
+    return rows.mapInPandas(run, "relative_path string, file_agent string, field string, types array<string>, start map<string,double>")
 
-def _as_fields(rows: list) -> dict[str, dict]:
-    out = {}
-    for r in rows:
-        r = r if isinstance(r, dict) else r.asDict()
-        out[r["field"]] = {
-            "nn": int(r["nn"]), "low": r["low"], "high": r["high"], "all": int(r["all"] or 0), "t": [int(v) for v in r["t"]],
-            "together": [int(v) for v in r["together"]] if r["together"] is not None else [0] * SLOTS,
-            "p": np.array([float(v) for v in r["p"]]), "c": [int(v) for v in r["c"]],
-        }
-    return out
 
+CHANGES = "relative_path string, agent string, field_name string, other_name string, change_kind string"
 
-def match_files(schemas: DataFrame, expected: dict[str, dict[str, str]], moves_only: bool = False) -> DataFrame:
-    """(relative_path, agent, field_name, other_name, change_kind); one task row per file, no group is gathered.
 
-    With `moves_only`, every rename and nothing else, also inside an `input` that has changed itself.
-    """
-    profiles = baseline_profiles(schemas, expected)
-    slots = {agent: {f: i for i, f in enumerate(fields)} for agent, fields in expected.items()}
+def match_files(stats: DataFrame, expected: dict[str, dict[str, str]]) -> DataFrame:
+    """(relative_path, agent, field_name, other_name, change_kind), also inside an `input` that has changed itself; `stats` is read twice."""
+    scored = durable(scored_extras(stats, expected))
+    known = stats.where(_is_expected(expected) | F.col("field").contains(INSIDE)).select(
+        "relative_path", "file_agent", "field",
+        F.array_compact(F.array(*(F.when(F.col(f"t{i}") > 0, t) for i, t in enumerate(TYPES)))).alias("types"), F.create_map().cast("map<string,double>").alias("start"),
+    )
+    hopeful = F.size("start") > 0
+    graphs = known.unionByName(scored.where(hopeful)).groupBy("relative_path", "file_agent").agg(F.collect_list(F.struct("field", "types", "start")).alias("fields"))
+    files = stats.select("relative_path", "file_agent").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for path, agent, held in zip(rows["relative_path"], rows["file_agent"], rows["fields"], strict=True):
-                fields = _as_fields(held)
-                moved = correspondences(fields, expected[agent], profiles.get(agent, {}), slots[agent])
-                for field, change in [(b, "renamed") for b in moved] if moves_only else changes(fields, expected[agent], moved):
-                    for other in moved[field] if change == "renamed" else [None]:
-                        out.append((path, agent, field, other, change))
+                fields = {f["field"]: {"types": set(f["types"]), "start": dict(f["start"])} for f in held} if held is not None else {}
+                out += [(path, agent, f, other, kind) for f, kind, other in changes(fields, expected[agent], correspondences(fields, expected[agent]))]
             yield pd.DataFrame(out, columns=["relative_path", "agent", "field_name", "other_name", "change_kind"])
 
-    return schemas.mapInPandas(run, "relative_path string, agent string, field_name string, other_name string, change_kind string")
+    # A file none of whose fields is gathered misses all of its baseline.
+    matched = files.join(graphs, ["relative_path", "file_agent"], "left").mapInPandas(run, CHANGES)
+    added = scored.where(~hopeful).select("relative_path", F.col("file_agent").alias("agent"), F.col("field").alias("field_name"), F.lit(None).cast("string").alias("other_name"), F.lit("added").alias("change_kind"))
+    return matched.unionByName(added)
 
 
 def schema_changes(lines: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Every change of every file against the baseline of its agent."""
+    """Every change of every file against the baseline of its agent; where `input` itself has one, none of what is inside it."""
     expected = read_baseline(baseline)
-    return match_files(durable(file_schemas(lines, expected)), expected)
+    found = match_files(durable(field_statistics(lines, expected)), expected)
+    changed = F.max(F.col("field_name") == "input").over(Window.partitionBy("relative_path"))
+    return found.withColumn("_input", changed).where(~(F.col("_input") & F.col("field_name").startswith("input."))).drop("_input")
 
 
 def restored(line: dict, fields: dict[str, str], back: dict[str, str]) -> tuple[dict[str, object], dict[str, object]]:
@@ -464,33 +560,30 @@ def restored(line: dict, fields: dict[str, str], back: dict[str, str]) -> tuple[
 
 
 def consistent_table(lines: DataFrame, baseline: DataFrame, agent: str) -> DataFrame:
-    """All lines of an agent with the baseline's columns, renamed fields put back and values cast.
+    """All lines of an agent's files with the baseline's columns, renamed fields put back and values cast.
 
-    A line that names no known agent belongs to its file's agent. A value that cannot be
-    cast to the baseline's type becomes null; `extra` keeps the fields the baseline does
-    not have, as JSON.
+    Every valid line stands in the table of its file's agent, whatever the line itself
+    names, so in exactly one table; only a line without a file goes by its own agent. A value that cannot be cast to the baseline's type
+    becomes null; `extra` keeps the fields the baseline does not have, as JSON.
     """
     expected = read_baseline(baseline)
     columns = list(expected[agent])
-    schemas = durable(file_schemas(lines, expected))
-    moved = match_files(schemas, expected, moves_only=True).where(F.col("agent") == agent)
+    stats = durable(field_statistics(lines, expected))
+    moved = match_files(stats, expected).where((F.col("agent") == agent) & (F.col("change_kind") == "renamed"))
     renames = moved.groupBy("relative_path").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("other_name", "field_name")))).alias("renames"))
-    files = schemas.select("relative_path", "file_agent").join(renames, "relative_path", "left")
+    files = stats.where(F.col("file_agent") == agent).select("relative_path").distinct().join(renames, "relative_path", "left")
     casts = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
     kinds = {c: casts[expected[agent][c]] for c in columns}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for line_id, path, raw, of_file, names in zip(rows["line_id"], rows["relative_path"], rows["raw"], rows["file_agent"], rows["renames"], strict=True):
+            for line_id, path, raw, names in zip(rows["line_id"], rows["relative_path"], rows["raw"], rows["renames"], strict=True):
                 line = parse_object(raw)
-                if line is None:
-                    continue
-                named = line.get("agent")
-                if (named if isinstance(named, str) and named in expected else of_file) != agent:
+                if line is None or path is None and line.get("agent") != agent:
                     continue
                 held, extra = restored(line, expected[agent], dict(names) if names is not None else {})
-                out.append((line_id, path, *(cast_value(held.get(c), kinds[c]) for c in columns), json.dumps(extra, ensure_ascii=False) if extra else None))
+                out.append((line_id, path, *(cast_value(held.get(c), kinds[c]) for c in columns), _json(extra) if extra else None))
             frame = pd.DataFrame(out, columns=["line_id", "relative_path", *columns, "extra"])
             for c in columns:
                 if kinds[c] == "double":
@@ -498,7 +591,13 @@ def consistent_table(lines: DataFrame, baseline: DataFrame, agent: str) -> DataF
             yield frame
 
     schema = "line_id bigint, relative_path string, " + ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", extra string"
-    return lines.select("line_id", "relative_path", "raw").join(files, "relative_path", "left").mapInPandas(run, schema)
+    some = lines.select("line_id", "relative_path", "raw")
+    homeless = some.where("relative_path IS NULL").withColumn("renames", F.lit(None).cast("map<string,string>"))
+    return salted_lookup(some, files, "relative_path", "line_id").unionByName(homeless).mapInPandas(run, schema)
+
+
+def _json(value: object) -> str:
+    return json.dumps(value, ensure_ascii=False).encode("utf-8", "replace").decode()
 
 
 def cast_value(value: object, kind: str) -> object:
@@ -506,12 +605,12 @@ def cast_value(value: object, kind: str) -> object:
     if value is None:
         return None
     if kind == "string":
-        return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+        return value.encode("utf-8", "replace").decode() if isinstance(value, str) else _json(value)
     if isinstance(value, (list, dict)) and len(value) == 1:
         value = value[0] if isinstance(value, list) else next(iter(value.values()))
     if kind == "boolean":
         return value if isinstance(value, bool) else None
     try:
         return None if isinstance(value, bool) else float(value)
-    except (TypeError, ValueError):
+    except (TypeError, ValueError, OverflowError):
         return None
