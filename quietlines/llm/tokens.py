@@ -1,21 +1,23 @@
 """Problem 6: the corpus as token ids of a public byte-level vocabulary.
 
-Method: a streaming transducer with bounded lookahead. Text arrives in blocks. A
-block is cut at the last place where the vocabulary's splitting pattern cannot join
-the two sides, which one further character decides; everything before it is stable
-and its ids are emitted. A run of one character class without such a place (a word
-of many thousand letters) goes byte by byte through an incremental encoder: the last
-token of every prefix is the only token that ends there and is compatible with the
-last token before it; a token is emitted once all prefixes from which a later token
-could still start agree on it. A later token is at most as long as the longest token
-of the merge list, so that length is the lookahead that suffices, and the working
-memory does not grow with the text.
+Method: a streaming transducer with bounded lookahead. Text arrives in blocks. A block
+is cut at the last place where the vocabulary's splitting pattern cannot join the two
+sides, which one further character decides; the pieces before it are stable. Every
+piece goes byte by byte through a state machine over the merge list: the last token of
+every prefix is the only token that ends there and is compatible with the last token
+before it. Which prefixes a later token may still start from follows from the merge
+list: those after which the bytes read so far begin some longer token. A token is
+emitted as soon as all of these agree on it; the lookahead is thus never longer than
+the longest token, and the working memory does not grow with the text. A piece that
+fills more than `RUN` characters enters the machine in parts; results of short pieces
+are remembered.
 
 Decoding goes through a byte-to-text state machine that holds back at most the bytes
 of one unfinished character.
 
 Defined results: null and empty texts give an empty array; strings that look like
-special tokens are ordinary text; repeated rows are encoded each on their own.
+special tokens are ordinary text; repeated rows are encoded each on their own; lone
+surrogates, which no table can hold, are read as question marks.
 """
 
 from __future__ import annotations
@@ -23,61 +25,83 @@ from __future__ import annotations
 import base64
 import codecs
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Characters per block, and how long a run may grow before it goes byte by byte.
+#: Characters per block, and how many of an unfinished piece are held before the machine gets them.
 BLOCK, RUN = 1 << 16, 1 << 13
+#: Characters of a piece that is remembered, remembered pieces, and remembered pairs of tokens.
+SHORT, PIECES, PAIRS = 32, 1 << 17, 1 << 18
 
 _CUT = regex.compile(r"(?:(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^\p{N}\s])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}]))")
 _CLASS = {"letter": regex.compile(r" ?\p{L}+"), "number": regex.compile(r" ?\p{N}+"), "blank": regex.compile(r"\s+"), "other": regex.compile(r" ?[^\s\p{L}\p{N}]+")}
 
 
 class Vocabulary:
-    """Ranks of a merge list, the encoder for whole pieces, and what streaming needs."""
+    """Ranks of a merge list and what the machine derives from them."""
 
     def __init__(self, ranks_file: bytes, pattern: str = PATTERN):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
-        self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        #: The lookahead that suffices for every merge of the list.
+        self.pattern = regex.compile(pattern)
+        #: Beginnings of longer tokens: what was read since a prefix, as long as a later token may start there.
+        self.begun = {b[:n] for b in self.ranks for n in range(1, len(b))}
+        #: The most bytes that any token waits for.
         self.lookahead = max(map(len, self.ranks), default=1)
         #: Longest token by its last two bytes; bounds the search for the token that ends at a byte.
         self.longest: dict[bytes, int] = {}
         for b in self.ranks:
             self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
         self._pairs: dict[tuple[int, int], bool] = {}
-
-    def piece(self, data: bytes) -> list[int]:
-        return self.encoding._core_bpe.encode_single_piece(data)
+        self._pieces: dict[str, list[int]] = {}
+
+    def merged(self, data: bytes) -> list[int]:
+        """`data` by the merge list: the adjacent parts of the lowest rank join first, until none can."""
+        parts = [data[i : i + 1] for i in range(len(data))]
+        while len(parts) > 1:
+            rank, at = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == 1 << 60:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [self.ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave `left` and `right` apart when they stand together."""
         key = (left, right)
         if key not in self._pairs:
-            if len(self._pairs) > 1 << 18:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
-            self._pairs[key] = self.piece(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            self._pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return self._pairs[key]
 
+    def piece(self, text: str) -> list[int]:
+        """The ids of one whole piece, by the machine; those of short pieces are remembered."""
+        ids = self._pieces.get(text)
+        if ids is None:
+            machine = Machine(self)
+            ids = machine.feed(text.encode("utf-8", "replace")) + machine.finish()
+            if len(text) <= SHORT:
+                if len(self._pieces) > PIECES:
+                    self._pieces.clear()
+                self._pieces[text] = ids
+        return ids
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
         stream, ids = Transducer(self), []
-        for at in range(0, len(text), BLOCK):
+        for at in range(0, len(text or ""), BLOCK):
             ids += stream.feed(text[at : at + BLOCK])
         return ids + stream.finish()
 
 
-class RunEncoder:
-    """Encodes one long piece given in parts; emits tokens as soon as they are stable."""
+class Machine:
+    """Encodes one piece given in parts; emits tokens as soon as they are stable."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -86,7 +110,7 @@ class RunEncoder:
         self.before = -1  # the token emitted last
 
     def feed(self, part: bytes) -> list[int]:
-        ranks, longest = self.vocabulary.ranks, self.vocabulary.longest
+        ranks, longest, compatible = self.vocabulary.ranks, self.vocabulary.longest, self.vocabulary.compatible
         data, last = self.data, self.last
         for byte in part:
             data.append(byte)
@@ -96,7 +120,7 @@ class RunEncoder:
                 if token is None or start and last[start][0] < 0:
                     continue
                 left = last[start][0] if start else self.before
-                if self.vocabulary.compatible(left, token) if left >= 0 else self.vocabulary.piece(bytes(data[start:end])) == [token]:
+                if left < 0 or compatible(left, token):
                     last.append((token, start))
                     break
             else:
@@ -104,14 +128,17 @@ class RunEncoder:
         return self._emit()
 
     def _emit(self) -> list[int]:
-        """The tokens on which all prefixes within the lookahead agree."""
-        end = len(self.data)
-        open_ends = {p for p in range(max(0, end - self.vocabulary.lookahead + 1), end + 1) if p == 0 or self.last[p][0] >= 0}
+        """The tokens on which all prefixes agree that a later token may start from."""
+        end, begun = len(self.data), self.vocabulary.begun
+        low = max(0, end - self.vocabulary.lookahead + 1)
+        open_ends = {p for p in range(low, end) if (p == 0 or self.last[p][0] >= 0) and bytes(self.data[p:end]) in begun}
+        if self.last[end][0] >= 0 or end == 0:
+            open_ends.add(end)
         while len(open_ends) > 1:
             highest = max(open_ends)
             open_ends.discard(highest)
             open_ends.add(self.last[highest][1])
-        stable = open_ends.pop()
+        stable = open_ends.pop() if open_ends else 0
         ids = self._chain(stable)
         if stable:
             self.before = ids[-1]
@@ -136,9 +163,13 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pending = ""
-        self.run: RunEncoder | None = None
+        self.run: Machine | None = None
         self.kind = ""
 
+    def _pieces(self, text: str) -> list[int]:
+        piece = self.vocabulary.piece
+        return list(chain.from_iterable(map(piece, self.vocabulary.pattern.findall(text))))
+
     def feed(self, block: str) -> list[int]:
         self.pending += block
         ids = self._continue_run(final=False) if self.run else []
@@ -146,12 +177,12 @@ class Transducer:
             return ids
         cut = self._last_cut()
         if cut:
-            ids += self.vocabulary.encoding.encode_ordinary(self.pending[:cut])
+            ids += self._pieces(self.pending[:cut])
             self.pending = self.pending[cut:]
         if len(self.pending) > RUN:
             self.kind = next((k for k, p in _CLASS.items() if p.fullmatch(self.pending)), "")
             if self.kind:
-                self.run = RunEncoder(self.vocabulary)
+                self.run = Machine(self.vocabulary)
                 ids += self._continue_run(final=False)
         return ids
 
@@ -166,12 +197,12 @@ class Transducer:
     def _continue_run(self, final: bool) -> list[int]:
         same = _CLASS[self.kind].match(self.pending)
         end = same.end() if same else 0
-        if self.kind != "blank" and self.pending.startswith(" ") and self.run.before != -1:
+        if self.kind != "blank" and self.pending.startswith(" ") and (self.run.data or self.run.before != -1):
             end = 0  # a blank opens the next piece
         ended = final or end < len(self.pending)
         # The last blank before another character belongs to what follows.
         take = end - 1 if self.kind == "blank" and not (final and end == len(self.pending)) else end
-        ids = self.run.feed(self.pending[: max(take, 0)].encode())
+        ids = self.run.feed(self.pending[: max(take, 0)].encode("utf-8", "replace"))
         self.pending = self.pending[max(take, 0) :]
         if ended:
             ids += self.run.finish()
@@ -182,7 +213,7 @@ class Transducer:
 
     def finish(self) -> list[int]:
         ids = self._continue_run(final=True) if self.run else []
-        ids += self.vocabulary.encoding.encode_ordinary(self.pending)
+        ids += self._pieces(self.pending)
         self.pending = ""
         return ids
 
@@ -228,7 +259,7 @@ def with_ids(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> Data
             ids = [vocabulary.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(i) for i in ids], out=offsets[1:])
-            flat = np.fromiter((t for i in ids for t in i), np.int32, int(offsets[-1]))
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()

@@ -15,35 +15,67 @@ def vocabulary():
         return tokens.Vocabulary(f.read())
 
 
+@pytest.fixture(scope="module")
+def at_once(vocabulary):
+    """The public library's encoder for whole texts; the operator itself does not use it."""
+    tiktoken = pytest.importorskip("tiktoken")
+    return tiktoken.Encoding("public", pat_str=tokens.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={}).encode_ordinary
+
+
 BITS = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "'s", "'", "1", "23", "é", "漢字", "ह", "ि", "!", "--", "====", "　", "‍", "😀", "ll", "'re", "Z", "<|endoftext|>"]
 
 
-def test_streaming_equals_encoding_at_once(vocabulary, monkeypatch):
+def test_streaming_equals_encoding_at_once(vocabulary, at_once, monkeypatch):
     monkeypatch.setattr(tokens, "RUN", 5)
     rng = random.Random(1)
     for _ in range(3000):
         text = "".join(rng.choice(BITS) * rng.choice([1, 1, 1, 2, 9]) for _ in range(rng.randint(0, 14)))
         stream, size = tokens.Transducer(vocabulary), rng.randint(1, 9)
         ids = [i for at in range(0, len(text), size) for i in stream.feed(text[at : at + size])] + stream.finish()
-        assert ids == vocabulary.encoding.encode_ordinary(text), repr(text)
+        assert ids == at_once(text), repr(text)
 
 
 @pytest.mark.parametrize("text", ["a" * 60_000, "漢字仮名" * 9_000, " " * 40_000 + "x", "=" * 40_000, "x " * 50_000, "\n" * 30_000, "1234567890" * 4_000])
-def test_long_runs(vocabulary, text):
+def test_long_runs(vocabulary, at_once, text):
     ids = vocabulary.encode(text)
-    assert ids == vocabulary.encoding.encode_ordinary(text)
+    assert ids == at_once(text)
     decoder = tokens.Decoder(vocabulary)
     assert "".join(decoder.feed([i]) for i in ids) + decoder.finish() == text
 
 
 def test_memory_of_a_run_is_bounded(vocabulary):
-    run, held = tokens.RunEncoder(vocabulary), 0
+    run, held = tokens.Machine(vocabulary), 0
     for _ in range(200):
         run.feed(b"abcdefghijklmnop" * 16)
         held = max(held, len(run.data))
     assert held <= 4 * vocabulary.lookahead + 256
 
 
+def test_every_token_is_what_the_merges_make_of_it(vocabulary):
+    assert all(vocabulary.merged(b) == [i] for b, i in vocabulary.ranks.items())
+
+
+def test_the_lookahead_follows_from_the_merge_list():
+    import base64
+
+    listed = b"\n".join(base64.b64encode(b) + b" %d" % i for i, b in enumerate([b"a", b"b", b"c", b"ab", b"abc"]))
+    small = tokens.Vocabulary(listed)
+    assert small.begun == {b"a", b"ab"} and small.lookahead == 3
+    machine = tokens.Machine(small)
+    # `a` and `ab` may grow, `b` after a finished `abc` may not.
+    assert [machine.feed(x) for x in (b"a", b"b", b"c", b"b", b"a")] == [[], [], [4], [1], []] and machine.finish() == [0]
+
+
+def test_whole_test_tables_equal_the_library(at_once, vocabulary):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(path, columns=["text"]).column(0).to_pylist():
+        assert vocabulary.encode(text) == at_once(text or "")
+
+
 def test_against_the_reference_library(vocabulary):
     tokenizers = pytest.importorskip("tokenizers")
     path = os.path.join(os.path.dirname(tokens.VOCABULARY), "byte_bpe_50k.json")
@@ -93,6 +125,14 @@ def test_closing_the_fullest_window():
     assert [windows.place(n) for n in (6, 7, 9)] == [0, 1, 2] and windows.place(4) == 0 and windows.place(1) == 2
 
 
+def test_documents_without_tokens_do_not_pile_up(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_HELD", 5)
+    windows = packing.Windows(10, 0)
+    for n in range(23):
+        windows.place(0, n)
+    assert len(windows.done) == 4 and sum(map(len, windows.held.values())) == 23 and max(map(len, windows.held.values())) == 5
+
+
 LAW, SEA = ["court", "statute", "verdict"], ["harbour", "sailor", "anchor"]
 
 
