@@ -33,6 +33,9 @@ OPEN_WINDOWS = 256
 #: Left-over windows that one merging task packs.
 MERGE_BUCKET = 50_000
 
+#: Documents that one open window holds before it is closed; only documents without tokens can be so many.
+MOST_HELD = 10_000
+
 PLACED = "limit_id bigint, capacity_tokens bigint, container_id bigint, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, open_fill bigint"
 
 
@@ -42,17 +45,24 @@ class Windows:
     def __init__(self, capacity: int, first_id: int, limit: int = OPEN_WINDOWS):
         self.capacity, self.limit, self.next_id = capacity, limit, first_id
         self.room: list[tuple[int, int]] = []  # (room left, window id)
+        self.held: dict[int, list] = {}  # window id -> what was placed in it
+        self.done: list[int] = []  # windows closed since they were last taken away
 
-    def place(self, size: int) -> int:
+    def place(self, size: int, item: object = None) -> int:
         """The window that takes an item of `size` (at most the capacity)."""
         at = bisect_left(self.room, (size, -1))
         if at < len(self.room):
             left, window = self.room.pop(at)
         else:
             if len(self.room) >= self.limit:
-                self.room.pop(0)  # the fullest is closed
+                self.done.append(self.room.pop(0)[1])  # the fullest is closed
             left, window, self.next_id = self.capacity, self.next_id, self.next_id + 1
-        insort(self.room, (left - size, window))
+        held = self.held.setdefault(window, [])
+        held.append(item)
+        if left == size or len(held) >= MOST_HELD:
+            self.done.append(window)
+        else:
+            insort(self.room, (left - size, window))
         return window
 
     def closed(self) -> int:
@@ -62,7 +72,7 @@ class Windows:
 
 
 def _pack(documents: DataFrame, capacities: list[tuple[int, int]], path: str) -> DataFrame:
-    """Rows of placed pieces, and one row without doc_id per window left open."""
+    """Rows of placed pieces; those of windows left open have `open_fill`, and each such window a row without piece_no."""
     merges = shared_vocabulary(documents, path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,9 +91,16 @@ def _pack(documents: DataFrame, capacities: list[tuple[int, int]], path: str) ->
                         whole, rest = whole - 1, capacity
                     for piece in range(whole):
                         out.append((limit, capacity, own.closed(), doc, piece, piece * capacity, capacity, None))
-                    out.append((limit, capacity, own.place(rest), doc, whole, whole * capacity, rest, None))
+                    own.place(rest, (doc, whole, whole * capacity, rest))
+                out += [(limit, capacity, w, *item, None) for w in own.done for item in own.held.pop(w)]
+                own.done = []
             yield _frame(out, columns)
-        yield _frame([(limit, own.capacity, window, None, None, None, None, own.capacity - left) for limit, own in windows.items() for left, window in own.room], columns)
+        still = [(limit, own, window, own.capacity - left) for limit, own in windows.items() for left, window in own.room]
+        yield _frame(
+            [(limit, own.capacity, window, None, None, None, None, fill) for limit, own, window, fill in still]
+            + [(limit, own.capacity, window, *item, fill) for limit, own, window, fill in still for item in own.held[window]],
+            columns,
+        )
 
     return documents.select("doc_id", "text").mapInPandas(run, PLACED)
 
@@ -112,14 +129,15 @@ def pack(documents: DataFrame, limits: DataFrame, path: str = VOCABULARY) -> Dat
     """
     capacities = sorted((r["limit_id"], r["capacity_tokens"]) for r in limits.collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0)
     placed = durable(_pack(documents, capacities, path))
-    left = placed.where("open_fill IS NOT NULL").select("limit_id", "capacity_tokens", "container_id", "open_fill")
+    columns = ["limit_id", "capacity_tokens", "container_id", "doc_id", "piece_no", "start_token", "n_tokens"]
+    left = placed.where("open_fill IS NOT NULL AND piece_no IS NULL").select("limit_id", "capacity_tokens", "container_id", "open_fill")
     buckets = left.groupBy("limit_id").count().agg(F.max("count")).first()[0] or 0
     spread = F.pmod(F.xxhash64("container_id"), F.lit(buckets // MERGE_BUCKET + 1))
     merged = left.withColumn("bucket", spread).groupBy("limit_id", "bucket").applyInPandas(_merge, "limit_id bigint, container_id bigint, merged_id bigint")
-    items = placed.where("open_fill IS NULL").drop("open_fill")
-    return items.join(merged, ["limit_id", "container_id"], "left").withColumn("container_id", F.coalesce("merged_id", "container_id")).select(
-        "limit_id", "capacity_tokens", "container_id", "doc_id", "piece_no", "start_token", "n_tokens"
-    )
+    # Only pieces of windows left open move; what stands in a closed one is final.
+    final = placed.where("open_fill IS NULL").select(*columns)
+    moved = placed.where("open_fill IS NOT NULL AND piece_no IS NOT NULL").join(merged, ["limit_id", "container_id"]).withColumn("container_id", F.col("merged_id")).select(*columns)
+    return final.unionByName(moved)
 
 
 def summary(packed: DataFrame) -> DataFrame:
