@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: The same for text of ASCII alone, for the faster matcher.
+ASCII = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]++| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]++\Z|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]"
 #: Characters per block, and how many of an unfinished piece are held before the machine gets them.
 BLOCK, RUN = 1 << 16, 1 << 13
 #: Characters of a piece that is remembered, remembered pieces, and remembered pairs of tokens.
@@ -44,6 +47,23 @@ _CUT = regex.compile(r"(?:(?<=\S)(?=\s)|(?<=\p{L})(?=[^\p{L}\s])|(?<=\p{N})(?=[^
 _CLASS = {"letter": regex.compile(r" ?\p{L}+"), "number": regex.compile(r" ?\p{N}+"), "blank": regex.compile(r"\s+"), "other": regex.compile(r" ?[^\s\p{L}\p{N}]+")}
 
 
+class Pieces(dict):
+    """The ids of pieces; a piece that is not there goes through the machine, and stays if it is short."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, text: str) -> list[int]:
+        machine = Machine(self.vocabulary)
+        ids = machine.feed(text.encode("utf-8", "replace")) + machine.finish()
+        if len(text) <= SHORT:
+            if len(self) > PIECES:
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Vocabulary:
     """Ranks of a merge list and what the machine derives from them."""
 
@@ -51,6 +71,7 @@ class Vocabulary:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines()) if a}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        self.ascii = re.compile(ASCII) if pattern == PATTERN else self.pattern
         #: Beginnings of longer tokens: what was read since a prefix, as long as a later token may start there.
         self.begun = {b[:n] for b in self.ranks for n in range(1, len(b))}
         #: The most bytes that any token waits for.
@@ -60,7 +81,7 @@ class Vocabulary:
         for b in self.ranks:
             self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
         self._pairs: dict[tuple[int, int], bool] = {}
-        self._pieces: dict[str, list[int]] = {}
+        self.pieces = Pieces(self)
 
     def merged(self, data: bytes) -> list[int]:
         """`data` by the merge list: the adjacent parts of the lowest rank join first, until none can."""
@@ -81,18 +102,6 @@ class Vocabulary:
             self._pairs[key] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return self._pairs[key]
 
-    def piece(self, text: str) -> list[int]:
-        """The ids of one whole piece, by the machine; those of short pieces are remembered."""
-        ids = self._pieces.get(text)
-        if ids is None:
-            machine = Machine(self)
-            ids = machine.feed(text.encode("utf-8", "replace")) + machine.finish()
-            if len(text) <= SHORT:
-                if len(self._pieces) > PIECES:
-                    self._pieces.clear()
-                self._pieces[text] = ids
-        return ids
-
     def encode(self, text: str | None) -> list[int]:
         stream, ids = Transducer(self), []
         for at in range(0, len(text or ""), BLOCK):
@@ -167,8 +176,8 @@ class Transducer:
         self.kind = ""
 
     def _pieces(self, text: str) -> list[int]:
-        piece = self.vocabulary.piece
-        return list(chain.from_iterable(map(piece, self.vocabulary.pattern.findall(text))))
+        pattern = self.vocabulary.ascii if text.isascii() else self.vocabulary.pattern
+        return list(chain.from_iterable(map(self.vocabulary.pieces.__getitem__, pattern.findall(text))))
 
     def feed(self, block: str) -> list[int]:
         self.pending += block

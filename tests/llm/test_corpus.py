@@ -51,6 +51,13 @@ def test_memory_of_a_run_is_bounded(vocabulary):
     assert held <= 4 * vocabulary.lookahead + 256
 
 
+def test_the_ascii_pattern_splits_alike(vocabulary):
+    rng = random.Random(9)
+    for _ in range(4000):
+        text = "".join(rng.choice([*map(chr, range(128)), *"  '  \n\nabll"]) for _ in range(rng.randint(0, 12)))
+        assert vocabulary.ascii.findall(text) == vocabulary.pattern.findall(text), repr(text)
+
+
 def test_every_token_is_what_the_merges_make_of_it(vocabulary):
     assert all(vocabulary.merged(b) == [i] for b, i in vocabulary.ranks.items())
 
