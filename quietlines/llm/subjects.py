@@ -2,10 +2,12 @@
 
 Method: class-association rules. Hand-labelled documents are cut into units
 (sentences, log lines, code lines); frequent word sets together with subjects are
-mined with parallel frequent-pattern growth; each rule `words -> subject` gets its
-confidence from the number of documents (not units) that support it, shrunk towards
-the base rate; a rule that a more general rule equals is pruned. A unit's evidence is
-its strongest matching rule, calibrated on held-out labelled documents; a document has
+mined with parallel frequent-pattern growth: words are ranked by frequency, each unit
+is sent to the tasks of its words as far as they need it, and every task grows the sets
+that end in its words over projected units. Support counts documents, not units; each
+rule `words -> subject` gets its confidence from it, shrunk towards the base rate. A
+rule that a more general rule equals is pruned, and no set is grown further once no
+rule of its supersets could say more. A unit's evidence is its strongest matching rule, calibrated on held-out labelled documents; a document has
 a subject if the units that are about it make up at least a quarter of its units.
 
 Labels are a bounded sample (`TRAIN_DOCS` documents, by hash); scoring covers every
@@ -26,7 +28,6 @@ from functools import lru_cache
 from itertools import combinations
 
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 TRAIN_DOCS = 20_000
 #: Documents that must support a rule, words in a rule, and the least share of units.
 MIN_DOCS, MAX_WORDS, SHARE = 3, 3, 0.25
-#: Words of a wordy unit that always share a basket.
-GROUP = 3
+#: Tasks that share the growing of word sets.
+GROUPS = 64
 #: Confidence under which a word or a rule says nothing.
 WORD_CONFIDENCE, RULE_CONFIDENCE = 0.22, 0.35
+#: What a longer rule must have more than the shorter ones inside it.
+GAIN = 0.02
 #: How many times its subject's usual share a rule's confidence must be.
 LIFT = 1.5
 #: Weight of the uncalibrated line in the calibration, in cases.
@@ -54,7 +57,8 @@ ALIASES = {
 
 _HEADING = re.compile(r"\s*(?:#{1,6}\s+\S|diff --git |index [0-9a-f]+\.\.|--- |\+\+\+ |@@ |[=~_*-]{3,}\s*$)")
 _ROLE = re.compile(r"</?(?:user|assistant|tool|system)>|\{\"role\": ?\"\w+\", ?\"content\": ?\"|\"\}\s*$|<\|\w+\|>")
-_SENTENCE = re.compile(r"(?<=[.!?。！？])[\"')\]]*\s+(?=\S)|(?<=[。！？])")
+_SENTENCE = re.compile(r"[.!?。！？][\"')\]]*\s+(?=\S)|[。！？]")  # what is consumed holds no word
+_DIFF = re.compile(r"^diff --git ", re.M)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -62,7 +66,7 @@ def units(text: str | None) -> list[frozenset[str]]:
     """The word sets of the sentences, log lines or code lines of a text."""
     if not text:
         return []
-    code = "diff --git " in text[:400]
+    code = bool(_DIFF.search(text))
     found = []
     for line in text.splitlines():
         if (line.startswith(("diff --git ", "index ", "--- ", "+++ ", "@@ ")) if code else _HEADING.match(line)):
@@ -77,16 +81,33 @@ def units(text: str | None) -> list[frozenset[str]]:
 Rules = dict[frozenset[str], list[tuple[str, float]]]
 
 
-def best_rule(words: frozenset[str], rules: Rules, known: frozenset[str]) -> tuple[str, float] | None:
-    """The subject and confidence of the strongest rule that matches a unit."""
-    have = sorted(words & known)
-    best: tuple[str, float] | None = None
-    for size in range(1, MAX_WORDS + 1):
-        for subset in combinations(have, size):
-            for subject, confidence in rules.get(frozenset(subset), ()):
-                if best is None or confidence > best[1]:
-                    best = (subject, confidence)
-    return best
+class RuleIndex:
+    """Rules by the word that the fewest rules have, the strongest first.
+
+    A unit is compared only with rules one of whose words it holds, and of those only
+    with such as are stronger than what already matched.
+    """
+
+    def __init__(self, rules: Rules):
+        ranked = sorted(((-c, len(words), sorted(words), subject) for words, found in rules.items() for subject, c in found))
+        uses = Counter(w for *_, words, _ in ranked for w in words)
+        self.known = frozenset(uses)
+        self.rules = [(subject, -c) for c, _, _, subject in ranked]
+        self.by_word: dict[str, list[tuple[int, frozenset[str]]]] = defaultdict(list)
+        for rank, (_, _, words, _) in enumerate(ranked):
+            self.by_word[min(words, key=lambda w: (uses[w], w))].append((rank, frozenset(words)))
+
+    def best(self, words: frozenset[str]) -> tuple[str, float] | None:
+        """The subject and confidence of the strongest rule that matches a unit."""
+        found = len(self.rules)
+        for word in words:
+            for rank, needed in self.by_word.get(word, ()):
+                if rank >= found:
+                    break
+                if needed <= words:
+                    found = rank
+                    break
+        return self.rules[found] if found < len(self.rules) else None
 
 
 def normal_label(label: str | None, subjects: dict[str, str]) -> str | None:
@@ -102,23 +123,55 @@ def normal_label(label: str | None, subjects: dict[str, str]) -> str | None:
 
 def labelled(documents: DataFrame, labels: DataFrame, subjects: dict[str, str], limit: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, text, subjects, held_out) of the labelled sample."""
-    meant = F.udf(lambda label: normal_label(label, subjects), "string")
+    @F.pandas_udf("string")
+    def meant(spellings: pd.Series) -> pd.Series:
+        return pd.Series([normal_label(x, subjects) for x in spellings], dtype=object)
+
     spelled = labels.where("subject_label IS NOT NULL").select(F.lower(F.trim("subject_label")).alias("label")).distinct().withColumn("subject", meant("label")).where("subject IS NOT NULL")
     marked = labels.withColumn("label", F.lower(F.trim("subject_label"))).join(spelled, "label").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return documents.select("doc_id", "text").where("text IS NOT NULL").join(sample, "doc_id").withColumn("held_out", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) == 0)
 
 
-def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    return df.mapInPandas(run, schema)
+def _sure(n: int, docs: int, n_subjects: int) -> float:
+    """Confidence of a rule that `n` of `docs` documents bear out."""
+    return (n + SHRINK / n_subjects) / (docs + SHRINK)
 
 
-def covering(words: tuple[str, ...]) -> list[tuple[str, ...]]:
-    """Baskets in which any MAX_WORDS words of a unit stand together; a wordy unit gives several, so that none breeds endless subsets."""
-    if len(words) <= MAX_WORDS * GROUP:
-        return [words]
-    groups = [words[at : at + GROUP] for at in range(0, len(words), GROUP)]
-    return [sum(some, ()) for some in combinations(groups, MAX_WORDS)]
+def may_gain(docs: int, by: dict[str, int], n_subjects: int) -> bool:
+    """Whether some superset of a word set could still be a rule; its documents are at most those of the set."""
+    best = {s: _sure(n, n, n_subjects) for s, n in by.items()}
+    return any(best[s] >= RULE_CONFIDENCE and best[s] > _sure(n, docs, n_subjects) + GAIN for s, n in by.items())
+
+
+def _grown(suffix: tuple[int, ...], projected: list[tuple[int, tuple[int, ...], int]], subjects: list[list[str]], n_subjects: int) -> Iterator[tuple[tuple[int, ...], int, Counter]]:
+    """Word sets that end in `suffix`, from (document, ranked words, how many of them stand before the suffix)."""
+    bases: dict[int, list[tuple[int, tuple[int, ...], int]]] = defaultdict(list)
+    for doc, words, end in projected:
+        for at in range(end):
+            bases[words[at]].append((doc, words, at))
+    for word, base in bases.items():
+        docs = {doc for doc, _, _ in base}
+        if len(docs) < MIN_DOCS:
+            continue
+        by = Counter(s for doc in docs for s in subjects[doc])
+        found = (word, *suffix)
+        yield found, len(docs), by
+        if len(found) < MAX_WORDS and may_gain(len(docs), by, n_subjects):
+            yield from _grown(found, base, subjects, n_subjects)
+
+
+def shards(units_of: list[tuple[int, ...]]) -> dict[int, list[tuple[int, ...]]]:
+    """Per group of words the beginnings of ranked units up to their last word of that group."""
+    out: dict[int, list[tuple[int, ...]]] = defaultdict(list)
+    for words in units_of:
+        sent = set()
+        for at in range(len(words) - 1, 0, -1):
+            group = words[at] % GROUPS
+            if group not in sent:
+                sent.add(group)
+                out[group].append(words[: at + 1])
+    return out
 
 
 def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
@@ -129,92 +182,71 @@ def mine_rules(sample: DataFrame, n_subjects: int) -> Rules:
         for rows in batches:
             counts: Counter = Counter()
             for text, subjects in zip(rows["text"], rows["subjects"], strict=True):
-                for word in frozenset().union(*units(text)):
+                for word in frozenset([""]).union(*units(text)):  # the empty word counts documents
                     counts[word, ""] += 1
                     counts.update((word, s) for s in subjects)
             yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["word", "subject", "n"])
 
-    counted = _mapped(mining, words_of, "word string, subject string, n bigint").groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    per_word = counted.groupBy("word").agg(F.max(F.when(F.col("subject") == "", F.col("n"))).alias("docs"), F.max(F.when(F.col("subject") != "", F.col("n"))).alias("most"))
-    telling = per_word.where((F.col("docs") >= MIN_DOCS) & ((F.col("most") + SHRINK / n_subjects) / (F.col("docs") + SHRINK) >= WORD_CONFIDENCE))
-    kept = frozenset(r["word"] for r in telling.select("word").collect())  # words of a bounded sample
-    if not kept:
+    counted = mining.mapInPandas(words_of, "word string, subject string, n bigint").groupBy("word", "subject").agg(F.sum("n").alias("n"))
+    mark = F.col("subject") == ""
+    per_word = counted.groupBy("word").agg(F.max(F.when(mark, F.col("n"))).alias("docs"), F.max(F.when(~mark, F.col("n"))).alias("most"), F.map_from_entries(F.collect_list(F.when(~mark, F.struct("subject", "n")))).alias("by"))
+    telling = (F.col("docs") >= MIN_DOCS) & ((F.col("most") + SHRINK / n_subjects) / (F.col("docs") + SHRINK) >= WORD_CONFIDENCE)
+    support = {r["word"]: (r["docs"], dict(r["by"])) for r in per_word.where(telling | (F.col("word") == "")).collect()}  # words of a bounded sample
+    if len(support) < 2:
         return {}
+    total, per_subject = support.pop("")
+    usual = {s: n / total for s, n in per_subject.items()}
+    ranked = sorted((w for w, (docs, by) in support.items() if may_gain(docs, by, n_subjects)), key=lambda w: (-support[w][0], w))
+    rank = {w: i for i, w in enumerate(ranked)}
 
-    def baskets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def projections(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for text, subjects in zip(rows["text"], rows["subjects"], strict=True):
-                marks = [f"={s}" for s in subjects]
-                for words in {tuple(sorted(u & kept)) for u in units(text)} - {()}:
-                    out += [[*basket, *marks] for basket in covering(words)]
-            yield pd.DataFrame({"items": pd.Series(out, dtype=object)})
-
-    transactions = _mapped(mining, baskets, "items array<string>").persist()
-    try:
-        total = transactions.count()
-        if not total:
-            return {}
-        # The fraction asks for MIN_DOCS baskets at every size; the half keeps rounding from asking for one more.
-        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (MIN_DOCS - 0.5) / total), minConfidence=WORD_CONFIDENCE).fit(transactions)
-        mined = (
-            model.associationRules.where(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda i: i.startswith("=")) & (F.size("antecedent") <= MAX_WORDS))
-            .select(F.array_join(F.array_sort("antecedent"), " ").alias("words"), F.element_at("consequent", 1).alias("subject"), "confidence")
-            .toArrow()  # rules of a bounded sample
-        )
-    finally:
-        transactions.unpersist()
-    by_words = {(w, s): c for w, s, c in zip(*(mined.column(n).to_pylist() for n in ("words", "subject", "confidence")), strict=True)}
-    # A longer rule must say more than the shorter ones inside it, before its documents are counted.
-    sets = frozenset(
-        frozenset(w.split())
-        for (w, s), c in by_words.items()
-        if all(c > by_words.get((" ".join(sub), s), 0.0) for size in range(1, w.count(" ") + 1) for sub in combinations(w.split(), size))
-    )
-    known = frozenset().union(*sets) if sets else frozenset()
-
-    def support(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            counts: Counter = Counter()
-            for text, subjects in zip(rows["text"], rows["subjects"], strict=True):
-                matched = {frozenset(c) for u in units(text) for size in range(1, MAX_WORDS + 1) for c in combinations(sorted(u & known), size)} & sets
-                for m in matched:
-                    name = " ".join(sorted(m))
-                    counts[name, ""] += 1
-                    counts.update((name, s) for s in subjects)
-            yield pd.DataFrame([(w, s, n) for (w, s), n in counts.items()], columns=["words", "subject", "n"])
-
-    supported = _mapped(mining, support, "words string, subject string, n bigint").groupBy("words", "subject").agg(F.sum("n").alias("n")).toArrow()
-    rows = list(zip(*(supported.column(n).to_pylist() for n in ("words", "subject", "n")), strict=True))
-    docs = {w: n for w, s, n in rows if s == ""}
-    confidence: dict[frozenset[str], dict[str, float]] = defaultdict(dict)
-    for w, s, n in rows:
-        if s and docs[w] >= MIN_DOCS:
-            confidence[frozenset(w.split())][s] = (n + SHRINK / n_subjects) / (docs[w] + SHRINK)
-    total = mining.count()
-    usual = {r["s"]: r["count"] / total for r in mining.select(F.explode("subjects").alias("s")).groupBy("s").count().collect()}  # one row per subject
+                found = {tuple(sorted(rank[w] for w in u if w in rank)) for u in units(text)}
+                out += [(group, list(subjects), [list(w) for w in words]) for group, words in shards(sorted(found)).items()]
+            yield pd.DataFrame(out, columns=["group", "subjects", "units"])
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        own, subjects = int(group["group"].iloc[0]), [list(s) for s in group["subjects"]]
+        bases: dict[int, list] = defaultdict(list)
+        for doc, of_doc in enumerate(group["units"]):
+            for words in (tuple(int(w) for w in u) for u in of_doc):
+                for at in range(1, len(words)):
+                    if words[at] % GROUPS == own:
+                        bases[words[at]].append((doc, words, at))
+        out = [(list(w), n, dict(by)) for last, base in bases.items() for w, n, by in _grown((last,), base, subjects, n_subjects)]
+        return pd.DataFrame(out, columns=["words", "docs", "by"])
+
+    sent = mining.mapInPandas(projections, "group int, subjects array<string>, units array<array<int>>")
+    sets = sent.groupBy("group").applyInPandas(grow, "words array<int>, docs bigint, by map<string,bigint>").toArrow()  # sets of a bounded sample
+    known = {frozenset([w]): held for w, held in support.items()}
+    for words, docs, by in zip(*(sets.column(c).to_pylist() for c in ("words", "docs", "by")), strict=True):
+        known[frozenset(ranked[w] for w in words)] = (docs, dict(by))
+    confidence = {words: {s: _sure(n, docs, n_subjects) for s, n in by.items()} for words, (docs, by) in known.items()}
     rules: Rules = {}
     for words, by_subject in confidence.items():
+        shorter = [confidence.get(frozenset(sub), {}) for size in range(1, len(words)) for sub in combinations(sorted(words), size)]
         for subject, c in by_subject.items():
-            general = max((confidence.get(frozenset(sub), {}).get(subject, 0.0) for size in range(1, len(words)) for sub in combinations(sorted(words), size)), default=0.0)
-            if c >= max(RULE_CONFIDENCE, LIFT * usual.get(subject, 0.0)) and c > general + 0.02:
+            general = max((held.get(subject, 0.0) for held in shorter), default=0.0)
+            if c >= max(RULE_CONFIDENCE, LIFT * usual.get(subject, 0.0)) and c > general + GAIN:
                 rules.setdefault(words, []).append((subject, c))
     return rules
 
 
 def calibrate(sample: DataFrame, rules: Rules) -> tuple[float, float]:
     """Slope and offset of P(unit is about the subject) over the rule's log-odds, on held-out documents."""
-    known = frozenset().union(*rules) if rules else frozenset()
+    index = RuleIndex(rules)
 
     def outcomes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             counts: Counter = Counter()
             for text, subjects in zip(rows["text"], rows["subjects"], strict=True):
-                seen = {best_rule(u, rules, known) for u in units(text)} - {None}
+                seen = {index.best(u & index.known) for u in units(text)} - {None}
                 counts.update((round(c, 2), s in set(subjects)) for s, c in seen)
             yield pd.DataFrame([(c, y, n) for (c, y), n in counts.items()], columns=["c", "y", "n"])
 
-    got = _mapped(sample.where("held_out"), outcomes, "c double, y boolean, n bigint").groupBy("c", "y").agg(F.sum("n").alias("n")).collect()
+    got = sample.where("held_out").mapInPandas(outcomes, "c double, y boolean, n bigint").groupBy("c", "y").agg(F.sum("n").alias("n")).collect()
     points = [(math.log(min(max(r["c"], 0.01), 0.99) / (1 - min(max(r["c"], 0.01), 0.99))), float(r["y"]), r["n"]) for r in got]
     slope, offset = 1.0, 0.0
     if sum(n for *_, n in points) < 50:
@@ -230,11 +262,12 @@ def calibrate(sample: DataFrame, rules: Rules) -> tuple[float, float]:
 
 def subject_shares(documents: DataFrame, rules: Rules, line: tuple[float, float]) -> DataFrame:
     """(doc_id, subject, n_units, n_about) of every subject that some unit is about. No shuffle."""
-    known = frozenset().union(*rules) if rules else frozenset()
+    index = RuleIndex(rules)
+    known = index.known
     slope, offset = line
 
     def subject_of(words: frozenset[str]) -> str | None:
-        best = best_rule(words, rules, known)
+        best = index.best(words)
         return best[0] if best and slope * math.log(best[1] / (1 - min(best[1], 0.999))) + offset >= 0 else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
