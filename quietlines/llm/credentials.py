@@ -1,11 +1,14 @@
 """Problem 1: literal credentials in shell and code text.
 
-Method: the text is cut into lexical tokens (private-key blocks, variable
-references, identifiers, options, quotes, operators, blanks); an identifier or
-option whose words name a credential is followed to the literal that is assigned
-or passed to it; the literal is a finding unless it is a reference, a template or
-a placeholder. Literals that carry their own mark (issuer prefixes, URL user
-parts, authorisation schemes, private-key blocks) need no identifier.
+Method: the text is cut into lexical tokens (private-key blocks, references, options,
+identifiers, the `://` of a URL, everything else). Every finding starts from a token: an
+identifier or option whose words name a credential is followed to the literal that is
+assigned or passed to it; a command opens a scope in which one of its short options is
+followed by the password; a scheme word, the `://` of a URL, an issuer's prefix at the
+start of an identifier or a private-key block mark the literal that comes with them.
+The literal is a finding unless it is a reference, a template or a placeholder. What
+follows a token is matched from there on and not beyond its line or its URL, so that
+the work grows with the text and not with its square.
 
 Only the literal's content is replaced: quotes, escapes before them, names, user
 names, hosts and scheme words stay, so the code around it still parses.
@@ -18,7 +21,9 @@ code points. Extra columns pass through untouched.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,13 +62,17 @@ LOWER_PATH = re.compile(r"(?:~|\.{1,2})?(?:/[A-Z]?[a-z._-]*[0-9]{0,4})+|(?:~|\.{
 NAME_PATH = re.compile(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*")
 
 LEXER = re.compile(
-    r"(?P<pem>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"
-    r"|(?P<ref>\$\{\{.*?\}\}|\$\{[^}\n]*\}|\$\([^)\n]*\)|\$\w+|\{\{.*?\}\})"
+    r"(?P<pem>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)"
+    r"|(?P<open>\$\{\{|\$\{|\$\(|\{\{)"
+    r"|(?P<ref>\$\w+)"
     r"|(?P<flag>(?<![\w-])--?[A-Za-z][\w-]*)"
     r"|(?P<word>[^\W\d]\w*(?:-\w+)*)"
-    r"|(?P<other>.)",
-    re.S,
+    r"|(?P<url>://)"
+    r"|(?P<end>[;|&\n])"
+    r"|(?P<colon>:)"
 )
+PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+CLOSING = {"${{": "}}", "{{": "}}", "${": "}", "$(": ")"}
 WORDS = re.compile(r"[A-Z]+(?![a-zà-ÿ])|[A-Z]?[a-zà-ÿ]+|[^\W\d_A-Za-zà-ÿ]+")
 AFTER_NAME = re.compile(
     r"(?P<close>\\*[\"'`]?\]?)(?:"
@@ -74,30 +83,37 @@ AFTER_NAME = re.compile(
 IN_CALL = re.compile(r"(?P<close>\\*[\"'])\s*,\s*(?=\\*[\"'])|\(\s*(?=\\*[\"'])")
 BARE = re.compile(r"[^\s'\"`;,|<>(){}\[\]\\&$]+")
 BARE_CONFIG = re.compile(r"[^\s'\"`;,|<>(){}\[\]\\$]+")
+BLANKS = re.compile(r"[^\S\n]+")
 QUOTED = re.compile(r"(?P<slash>\\*)(?P<quote>[\"'`])")
-SCHEME = re.compile(r"(?i)\b(?:bearer|basic|token|apikey|bot)[^\S\n]+(?P<value>[A-Za-z0-9._~+/-]{6,}=*)")
-AUTHORISATION = re.compile(r"(?i)(?:proxy-)?authorization\\*[\"']?\s*[:=]\s*\\*[\"']?\s*(?:(?:bearer|basic|token|apikey|bot)\b[^\S\n]*)?(?!(?:bearer|basic|token|digest|apikey|bot)\b)(?P<value>[A-Za-z0-9._~+/-]{6,}=*)")
-URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/@:'\"<>]*:(?P<value>[^\s/@'\"<>]+)@")
-PIPED = re.compile(r"\b(?:echo|printf)\s+(?:-n\s+)?(?P<quote>['\"]?)(?P<value>[^\s|'\"]+)(?P=quote)\s*\|\s*[^|;\n]*?(?:--(?:password|token|secret)-stdin|--with-token|\bsudo\s+-S)")
-COMMANDED = re.compile(r"--pass(?:word|phrase)-command[ =](?P<quote>['\"])(?:echo|printf)\s+(?P<value>[^\s'\"]+)(?P=quote)")
-COLON_FILE = re.compile(r"[\w.*-]+:(?:\d{2,5}|\*):[\w.*-]+:[\w.*-]+:(?P<value>[^\s:'\"\\]+)")
-SECURE_STRING = re.compile(r"ConvertTo-SecureString\s+(?:-String\s+)?(?P<quote>['\"])(?P<value>[^'\"\n]+)(?P=quote)")
+# What may follow a word that opens it; matched from the end of that word.
+SCHEMES = frozenset("bearer basic token apikey bot".split())
+AFTER_SCHEME = re.compile(r"[^\S\n]+(?P<value>[A-Za-z0-9._~+/-]{6,}=*)")
+AFTER_AUTHORISATION = re.compile(r"(?i)\\*[\"']?\s*[:=]\s*\\*[\"']?\s*(?:(?:bearer|basic|token|apikey|bot)\b[^\S\n]*)?(?!(?:bearer|basic|token|digest|apikey|bot)\b)(?P<value>[A-Za-z0-9._~+/-]{6,}=*)")
+AFTER_ECHO = re.compile(r"\s+(?:-n\s+)?(?P<quote>['\"]?)(?P<value>[^\s|'\"]+)(?P=quote)\s*\|\s*[^|;\n]*?(?:--(?:password|token|secret)-stdin|--with-token|\bsudo\s+-S)")
+AFTER_PASSWORD_COMMAND = re.compile(r"[ =](?P<quote>['\"])(?:echo|printf)\s+(?P<value>[^\s'\"]+)(?P=quote)")
+AFTER_SECURE_STRING = re.compile(r"\s+(?:-String\s+)?(?P<quote>['\"])(?P<value>[^'\"\n]+)(?P=quote)")
+# The user part after the `://` of a URL, and the letters before it.
+URL_USER = re.compile(r"[^\s/@:'\"<>]*:(?P<value>[^\s/@'\"<>]+)@")
+URL_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+# A line of a password file from the colon before its port on.
+COLON_FILE = re.compile(r"(?<=[\w.*-]):(?:\d{2,5}|\*):[\w.*-]+:[\w.*-]+:(?P<value>[^\s:'\"\\]+)")
 PROSE = re.compile(r"[^\S\n]+(?:is|was|ist|lautet|es|est|:)[^\S\n]+(?:now[^\S\n]+)?[\"'`]?(?P<value>[^\s'\"`,;]+)")
 SPACED = re.compile(r"\\*[\"']?[^\S\n]+(?P<value>[^\s'\"`;,|<>(){}\[\]\\&$]+)(?![^\S\n]*[=:(])")
 SQL_QUOTED = re.compile(r"[^\S\n]+(?:by[^\S\n]+)?(?P<quote>['\"])(?P<value>[^'\"\n]+)(?P=quote)", re.I)
-# Commands and the short option by which each takes a password; the last part tells whether the value is attached.
+# Commands and how the short option that takes their password goes on.
+_VALUE = r"(?P<quote>['\"]?)(?P<value>[^\s'\"]+)(?P=quote)"
+_USER = re.compile(rf"(?:-u|-a|--user|--auth)[ =]?(?P<quote>['\"]?)[^\s:'\"/]+:(?P<value>[^\s'\"]+)(?P=quote)")
 SHORT_OPTIONS = (
-    (re.compile(r"\bsshpass\b[^;|&\n]*?\s-p\s*(?P<quote>['\"]?)(?P<value>[^\s'\"]+)(?P=quote)"), False),
-    (re.compile(r"\bdocker\s+login\b[^;|&\n]*?\s-p[ =]?(?P<quote>['\"]?)(?P<value>[^\s'\"]+)(?P=quote)"), False),
-    (re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^;|&\n]*?\s-p(?P<quote>['\"]?)(?P<value>[^\s'\"]+)(?P=quote)"), False),
-    (re.compile(r"\bredis-cli\b[^;|&\n]*?\s-a\s+(?P<quote>['\"]?)(?P<value>[^\s'\"]+)(?P=quote)"), False),
-    (re.compile(r"\b(?:curl|http|https|wget)\b[^;|&\n]*?\s(?:-u|-a|--user|--auth)[ =]?(?P<quote>['\"]?)[^\s:'\"/]+:(?P<value>[^\s'\"]+)(?P=quote)"), False),
+    {"sshpass": re.compile(rf"-p\s*{_VALUE}"), "docker login": re.compile(rf"-p[ =]?{_VALUE}"), "redis-cli": re.compile(rf"-a\s+{_VALUE}")}
+    | dict.fromkeys(("mysql", "mysqldump", "mysqladmin", "mariadb"), re.compile(rf"-p{_VALUE}"))
+    | dict.fromkeys(("curl", "http", "https", "wget"), _USER)
 )
 
 #: A condition that every text with a finding fulfils; it keeps most rows inside the JVM.
 GATE = r"(?i)pass|pwd|passwor|contrase|kennwort|senha|secret|token|key|cred|auth|bearer|basic|private|://|curl|wget|mysql|mariadb|docker|sudo|redis-cli|http|sshpass|sk[-_]|gh[pousr]_|glpat|xox|hf_|npm_|[rp]k_|AIza|A[KS]IA|eyJ|pypi-|dop_v1|SG\.|密|口令|令牌|パスワード|пароль|pgpass|SecureString"
 
 
+@lru_cache(1 << 14)
 def names_credential(name: str) -> bool:
     words = [w.lower() for w in WORDS.findall(name)]
     if not words:
@@ -126,7 +142,7 @@ def is_literal(value: str, quoted: bool, follows: str, name: str) -> bool:
         return False
     if re.fullmatch(r"[\d.,:]+", value) or LOWER_PATH.fullmatch(value) or "://" in value:
         return False
-    if value.startswith(("-----BEGIN", "sha256:", "sha512-", "ssh-")) or re.search(r"[.\]})][*+?]|\\[dws]|\[[^\]]*-[^\]]*\]", value):
+    if value.startswith(("-----BEGIN", "sha256:", "sha512-", "ssh-")) or re.search(r"[.\]})][*+?]|\\[dws]|\[[^\[\]-]*-[^\[\]]*\]", value):
         return False
     if " " in value:
         return quoted and "pass" in name.lower() and len(value.split()) <= 12 and not re.search(r"[.:!?]\s|\b(?:must|should|the|is)\b", value)
@@ -143,10 +159,12 @@ def _value_at(text: str, at: int, name: str, query: bool = False, plain: bool =
     """The literal that begins at `at`, quoted or bare; None if there is none."""
     if opening := QUOTED.match(text, at):
         delimiter = opening.group()
-        start, end = opening.end(), text.find(delimiter, opening.end())
+        start, line = opening.end(), text.find("\n", opening.end())
+        line = len(text) if line < 0 else line
+        end = text.find(delimiter, start, line)
         while end > 0 and not opening["slash"] and text[end - 1] == "\\":
-            end = text.find(delimiter, end + 1)
-        if end < 0 or "\n" in text[start:end]:
+            end = text.find(delimiter, end + 1, line)
+        if end < 0:
             return None
         return (start, end) if is_literal(text[start:end], True, "", name) else None
     found = (BARE if query else BARE_CONFIG).match(text, at)
@@ -164,70 +182,153 @@ def _value_at(text: str, at: int, name: str, query: bool = False, plain: bool =
     return (start, end) if is_literal(value, False, text[end : end + 1], name) else None
 
 
+class Scan:
+    """One pass over the tokens of a text; collects (rank, start, end)."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.found: list[tuple[int, int, int]] = []
+        self.next: dict[str, int] = {}  # the next place of a closing mark, once looked up
+        self.password_file = "pgpass" in text
+        self.keys_end = True
+
+    def add(self, start: int, end: int, rank: int) -> None:
+        if end > start:
+            self.found.append((rank, start, end))
+
+    def after(self, mark: str, at: int) -> int:
+        """The first place of `mark` from `at` on; the length of the text if there is none."""
+        if self.next.get(mark, -1) < at:
+            place = self.text.find(mark, at)
+            self.next[mark] = len(self.text) if place < 0 else place
+        return self.next[mark]
+
+    def run(self, begin: int, stop: int, names: bool = True) -> None:
+        """Follow the tokens between two places; without `names` only literals that mark themselves."""
+        text, at, command = self.text, begin, ""
+        tokens = LEXER.finditer(text, at, stop)
+        while True:
+            token = next(tokens, None)
+            if token is None:
+                return
+            kind, (start, end) = token.lastgroup, token.span()
+            if kind == "pem":
+                closing = PEM_END.search(text, end, stop) if self.keys_end else None
+                self.keys_end = closing is not None or stop < len(text)
+                if closing:
+                    self.key_block(start, closing.end())
+                    tokens = LEXER.finditer(text, closing.end(), stop)
+            elif kind == "open":
+                mark = CLOSING[token.group()]
+                close = self.after(mark, end)
+                if close < stop and (len(mark) == 2 or self.after("\n", end) > close):
+                    self.run(end, close, names=False)
+                    tokens = LEXER.finditer(text, close + len(mark), stop)
+            elif kind == "url":
+                if URL_SCHEME.search(text[max(begin, start - 40) : start]) and (user := URL_USER.match(text, end)):
+                    self.marked(user, 1)
+            elif kind == "end":
+                command = ""
+            elif kind == "colon":
+                if self.password_file and (line := COLON_FILE.match(text, start)):
+                    self.marked(line, 2)
+            elif kind in ("flag", "word"):
+                if command and kind == "flag" and text[start - 1 : start].isspace() and (option := SHORT_OPTIONS[command].match(text, start)):
+                    self.marked(option, 2)
+                    command = ""
+                command = self.command(token.group(), start, command)
+                self.signalled(token.group(), start, end, kind)
+                if names and names_credential(name := token.group().lstrip("-")):
+                    self.named(name, start, end, kind)
+
+    def key_block(self, start: int, end: int) -> None:
+        body = re.sub(r"-----[A-Z0-9 ]+-----|\\[nr]|\s", "", self.text[start:end])
+        if len(body) >= 16 and not NOT_A_SECRET.fullmatch(body):
+            self.add(start, end, 0)
+
+    def command(self, word: str, start: int, before: str) -> str:
+        """The command whose options may follow."""
+        if word == "login" and re.search(r"\bdocker\s+$", self.text[max(0, start - 24) : start]):
+            return "docker login"
+        for part in (word, *(word.split("-") if "-" in word else ())):
+            if part in SHORT_OPTIONS:
+                return part
+        return before
+
+    def marked(self, m: re.Match, rank: int, long: bool = False) -> None:
+        """A literal whose place alone says that it is a secret."""
+        value = m["value"]
+        if is_literal(value, True, "", "password") and (not long or looks_random(value) and len(value) >= 16):
+            self.add(*m.span("value"), rank)
+
+    def signalled(self, word: str, start: int, end: int, kind: str) -> None:
+        """What a word says of the literal after it, or of itself by an issuer's prefix."""
+        text, low = self.text, word.lower()
+        if low.rpartition("-")[2] in SCHEMES and (m := AFTER_SCHEME.match(text, end)):
+            self.marked(m, 3, long=True)
+        if low.endswith("authorization") and (m := AFTER_AUTHORISATION.match(text, end)):
+            self.marked(m, 2)
+        elif low in ("echo", "printf") and (m := AFTER_ECHO.match(text, end)):
+            self.marked(m, 2)
+        elif low in ("--password-command", "--passphrase-command") and (m := AFTER_PASSWORD_COMMAND.match(text, end)):
+            self.marked(m, 2)
+        elif word == "ConvertTo-SecureString" and (m := AFTER_SECURE_STRING.match(text, end)):
+            self.marked(m, 2)
+        if kind == "word" and (m := ISSUED.match(text, start) if word.isascii() else ISSUED.search(text, start, end)):
+            bare = re.split(r"[-_]", m.group(), maxsplit=1)[-1]
+            if not is_wordy(bare) and re.search(r"\d|[A-Z]", bare) and not NOT_A_SECRET.fullmatch(m.group()) and not REFERENCE.match(m.group()):
+                self.add(*m.span(), 4)
+
+    def opens_call(self, start: int) -> bool:
+        """Whether only quotes stand between `(` and the place."""
+        at = start - 1
+        while at >= 0 and self.text[at] in "\\\"'":
+            at -= 1
+        return at >= 0 and self.text[at] == "("
+
+    def named(self, name: str, start: int, end: int, kind: str) -> None:
+        """The literal that is assigned or passed to a credential's name."""
+        text = self.text
+        before = text[start - 1 : start]
+        query = before in ("?", "&")
+        if bound := AFTER_NAME.match(text, end):
+            if span := _value_at(text, bound.end(), name, query, bound["op"] == ":" or name.islower()):
+                return self.add(*span, 2)
+        if (call := IN_CALL.match(text, end)) and (call["close"] is None or self.opens_call(start)):
+            if span := _value_at(text, call.end(), name):
+                return self.add(*span, 2)
+        if before == "<" and text[end : end + 1] == ">":
+            close = self.after("<", end + 1)
+            if close < len(text) and is_literal(text[end + 1 : close], True, "", name):
+                self.add(end + 1, close, 2)
+            return None
+        if kind == "flag":
+            blank = BLANKS.match(text, end)
+            if blank and text[blank.end() : blank.end() + 1] != "-" and (span := _value_at(text, blank.end(), name)):
+                self.add(*span, 2)
+            return None
+        if (said := PROSE.match(text, end)) and looks_random(said["value"].rstrip(".!?)")) and is_literal(said["value"], True, "", name):
+            return self.add(said.start("value"), said.start("value") + len(said["value"].rstrip(".!?)")), 3)
+        if (sql := SQL_QUOTED.match(text, end)) and before not in ("'", '"', "`") and is_literal(sql["value"], True, "", name):
+            return self.add(*sql.span("value"), 3)
+        if (spaced := SPACED.match(text, end)) and is_literal(spaced["value"], False, text[spaced.end() : spaced.end() + 1], name):
+            if looks_random(spaced["value"]) or re.search(r"\b(?:ENV|set|login\s+\S+|user\s+\S+)\s+\S*$", text[max(0, start - 80) : start]) and not is_wordy(spaced["value"]):
+                self.add(*spaced.span("value"), 3)
+        return None
+
+
 def find_credentials(text: str | None) -> list[tuple[int, int]]:
     """Code-point spans of the literal credentials in `text`, in order, without overlaps."""
     if not text:
         return []
-    found: list[tuple[int, int, int]] = []
-
-    def add(start: int, end: int, rank: int) -> None:
-        if end > start:
-            found.append((rank, start, end))
-
-    for token in LEXER.finditer(text):
-        kind, (start, end) = token.lastgroup, token.span()
-        if kind == "pem":
-            body = re.sub(r"-----[A-Z0-9 ]+-----|\\[nr]|\s", "", token.group())
-            if len(body) >= 16 and not NOT_A_SECRET.fullmatch(body):
-                add(start, end, 0)
-        elif kind in ("flag", "word") and names_credential(name := token.group().lstrip("-")):
-            before = text[start - 1 : start]
-            query = before in ("?", "&")
-            if bound := AFTER_NAME.match(text, end):
-                if span := _value_at(text, bound.end(), name, query, bound["op"] == ":" or name.islower()):
-                    add(*span, 2)
-                    continue
-            if (call := IN_CALL.match(text, end)) and (call["close"] is None or text[: start].rstrip("\\\"'").endswith("(")):
-                if span := _value_at(text, call.end(), name):
-                    add(*span, 2)
-                    continue
-            if before == "<" and text[end : end + 1] == ">":
-                close = text.find("<", end + 1)
-                if close > 0 and is_literal(text[end + 1 : close], True, "", name):
-                    add(end + 1, close, 2)
-                continue
-            if kind == "flag":
-                blank = re.compile(r"[^\S\n]+").match(text, end)
-                if blank and text[blank.end() : blank.end() + 1] != "-" and (span := _value_at(text, blank.end(), name)):
-                    add(*span, 2)
-                continue
-            if (said := PROSE.match(text, end)) and looks_random(said["value"].rstrip(".!?)")) and is_literal(said["value"], True, "", name):
-                add(said.start("value"), said.start("value") + len(said["value"].rstrip(".!?)")), 3)
-                continue
-            if (sql := SQL_QUOTED.match(text, end)) and before not in ("'", '"', "`") and is_literal(sql["value"], True, "", name):
-                add(*sql.span("value"), 3)
-                continue
-            if (spaced := SPACED.match(text, end)) and is_literal(spaced["value"], False, text[spaced.end() : spaced.end() + 1], name):
-                if looks_random(spaced["value"]) or re.search(r"\b(?:ENV|set|login\s+\S+|user\s+\S+)\s+\S*$", text[max(0, start - 80) : start]) and not is_wordy(spaced["value"]):
-                    add(*spaced.span("value"), 3)
-    for pattern, rank, check in ((URL_USER, 1, False), (AUTHORISATION, 2, False), (SCHEME, 3, True), (PIPED, 2, False), (COMMANDED, 2, False), (SECURE_STRING, 2, False), *((p, 2, c) for p, c in SHORT_OPTIONS)):
-        for m in pattern.finditer(text):
-            value = m["value"]
-            if is_literal(value, True, "", "password") and (not check or looks_random(value) and len(value) >= 16):
-                add(*m.span("value"), rank)
-    if "pgpass" in text:
-        for m in COLON_FILE.finditer(text):
-            if is_literal(m["value"], True, "", "password"):
-                add(*m.span("value"), 2)
-    for m in ISSUED.finditer(text):
-        bare = re.split(r"[-_]", m.group(), maxsplit=1)[-1]
-        if not is_wordy(bare) and re.search(r"\d|[A-Z]", bare) and not NOT_A_SECRET.fullmatch(m.group()) and not REFERENCE.match(m.group()):
-            add(*m.span(), 4)
+    scan = Scan(text)
+    scan.run(0, len(text))
     kept: list[tuple[int, int]] = []
-    for _, start, end in sorted(found):
-        if all(end <= s or start >= e for s, e in kept):
-            kept.append((start, end))
-    return sorted(kept)
+    for _, start, end in sorted(set(scan.found)):
+        at = bisect_left(kept, (start, end))
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+            kept.insert(at, (start, end))
+    return kept
 
 
 def redact(text: str | None, spans: list[tuple[int, int]], placeholder: str = PLACEHOLDER) -> str | None:
