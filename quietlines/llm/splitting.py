@@ -4,17 +4,18 @@ Method: one regular expression with bounded quantifiers consumes the text. Its
 alternatives are ordered by the strength of the boundary they end at (the rest of
 the text, a blank line, a line end, a sentence end, a blank, any character), each
 taking as much as fits; the last is the character fallback. The consumed stretches
-are the cores of the pieces; each piece but the first begins with the last
-`overlap` characters of the core before it, so neighbours share exactly those.
-All of it runs as SQL array functions inside the JVM, linear in the text.
+are the cores of the pieces; each piece begins with the `overlap` characters of the
+text before its core (the first with the first `overlap` characters of the text), so
+neighbours share exactly those. All of it runs as SQL array functions inside the JVM,
+linear in the text.
 
 Sizes are code points. A core has at most `chunk - overlap` and, before the last, at
 least half of that, so every piece fits and the pieces cover the whole text.
 
 Defined results: null text or null or non-positive chunk size: null pieces. Text up
 to the limit, the empty text included: one piece, the text itself. Overlap missing or
-negative: none. Overlap above a third of the chunk size cannot be honoured together
-with boundaries; it still is while it is at most half, above that pieces are null.
+negative: none. An overlap of the chunk size or more leaves no room for anything new;
+seven eighths of the chunk size are shared then.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from pyspark.sql import functions as F
 
 from quietlines.plans.tables import salted_lookup
 
+#: Pieces whose places are computed in one inner fold.
+BLOCK = 256
+
 
 def boundary_pattern(core: Column, least: Column) -> Column:
     """The pattern that consumes cores of `least` to `core` characters."""
@@ -42,28 +46,36 @@ def boundary_pattern(core: Column, least: Column) -> Column:
 
 def split_pieces(text: Column, chunk: Column, overlap: Column) -> Column:
     """Column: array of struct<piece_no, start_pos, end_pos, piece> for a text column."""
-    lap = F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0)).cast("int")
+    asked = F.greatest(F.coalesce(overlap, F.lit(0)), F.lit(0))
+    lap = F.when(asked < chunk, asked).otherwise(chunk - F.greatest(F.floor(chunk / 8), F.lit(1))).cast("int")
     core = (chunk - lap).cast("int")
-    least = F.greatest(F.floor(core / 2), lap, F.lit(1)).cast("int")
-    cores = F.regexp_extract_all(text, boundary_pattern(core, least), F.lit(0))
-    whole = F.array(text)
-    usable = text.isNotNull() & (chunk > 0) & (lap * 2 <= chunk)
-    parts = F.when(usable & (F.char_length(text) <= chunk), whole).when(usable, cores)
+    least = F.greatest(F.floor(core / 2), F.lit(1)).cast("int")
+    usable = text.isNotNull() & (chunk > 0)
+    long = usable & (F.char_length(text) > chunk)
+    cores = F.regexp_extract_all(F.substr(text, lap + 1), boundary_pattern(core, least), F.lit(0))
+    parts = F.when(long, cores).when(usable, F.array(text))
+    head = F.when(long, F.left(text, lap)).otherwise(F.lit(""))
+    none = F.array().cast("array<struct<lap:string,end:int>>")
+    start = F.struct(head.alias("tail"), F.char_length(head).alias("at"), F.array().cast("array<array<struct<lap:string,end:int>>>").alias("blocks"))
+
+    def step(a: Column, p: Column) -> Column:
+        end = a["at"] + F.char_length(p)
+        return F.struct(F.right(F.concat(a["tail"], p), lap).alias("tail"), end.alias("at"), F.concat(a["before"], F.array(F.struct(a["tail"].alias("lap"), end.alias("end")))).alias("before"))
+
+    def block(a: Column, some: Column) -> Column:
+        """A fold copies what it has gathered at every step, so it gathers blocks of steps."""
+        inner = F.aggregate(some, F.struct(a["tail"].alias("tail"), a["at"].alias("at"), none.alias("before")), step)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["tail"].alias("tail"), r["at"].alias("at"), F.concat(a["blocks"], F.array(r["before"])).alias("blocks"))), F.lit(0))
 
     def placed(parts: Column) -> Column:
         """The pieces of one text; `parts` is bound here, so that the text is matched once."""
-        ends = F.aggregate(
-            parts,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-            lambda a, p: F.struct((a["at"] + F.char_length(p)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.char_length(p))).alias("ends")),
-            lambda a: a["ends"],
-        )
-        laps = F.transform(F.concat(F.array(F.lit("")), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))), lambda p: F.right(p, lap))
-        return F.transform(F.arrays_zip(parts.alias("core"), ends.alias("end"), laps.alias("lap")), piece)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda i: F.slice(parts, i * BLOCK + 1, F.lit(BLOCK)))
+        before = F.aggregate(blocks, start, block, lambda a: F.flatten(a["blocks"]))
+        return F.transform(F.arrays_zip(parts.alias("core"), before.alias("before")), piece)
 
     def piece(p: Column, i: Column) -> Column:
-        start = p["end"] - F.char_length(p["core"]) - F.char_length(p["lap"])
-        return F.struct(i.cast("int").alias("piece_no"), start.cast("bigint").alias("start_pos"), p["end"].cast("bigint").alias("end_pos"), F.concat(p["lap"], p["core"]).alias("piece"))
+        first = p["before"]["end"] - F.char_length(p["core"]) - F.char_length(p["before"]["lap"])
+        return F.struct(i.cast("int").alias("piece_no"), first.cast("bigint").alias("start_pos"), p["before"]["end"].cast("bigint").alias("end_pos"), F.concat(p["before"]["lap"], p["core"]).alias("piece"))
 
     return F.when(parts.isNotNull(), F.get(F.transform(F.array(parts), placed), F.lit(0)))
 

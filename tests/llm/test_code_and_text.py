@@ -68,17 +68,19 @@ def test_gate_holds_for_every_finding(spark):
 def _texts():
     rng = random.Random(3)
     bits = ["word ", "end. ", "line\n", "para\n\n", "漢字。", "😀", "x" * 40, "\t", "é! "]
-    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["", "y" * 5000, None, "z " * 100_000, "\n" * 500]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["", "y" * 5000, None, "z " * 20_000, "\n" * 500]
 
 
 def test_pieces_fit_cover_and_overlap(spark):
     texts = _texts()
-    rows = [(i, t, c, o) for i, t in enumerate(texts) for c, o in ((100, 10), (50, 0), (60, 30), (60, 40), (None, 5), (0, 0), (80, None))]
+    rows = [(i, t, c, o) for i, t in enumerate(texts) for c, o in ((100, 10), (50, 0), (60, 30), (60, 40), (None, 5), (0, 0), (80, None), (10, 9), (64, 64), (64, 99), (1, 1), (7, -3))]
     df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, i int, t string, c long, o long")
     got = {r["n"]: r["p"] for r in df.select("n", splitting.split_pieces(F.col("t"), F.col("c"), F.col("o")).alias("p")).collect()}
     for n, (_, t, c, o) in enumerate(rows):
         p = got[n]
-        if t is None or not c or (o or 0) * 2 > c:
+        o = max(o or 0, 0)
+        o = o if not c or o < c else c - max(c // 8, 1)
+        if t is None or not c:
             assert p is None
             continue
         if len(t) <= c:
@@ -87,7 +89,7 @@ def test_pieces_fit_cover_and_overlap(spark):
         end = 0
         for k, x in enumerate(p):
             assert x["piece_no"] == k and t[x["start_pos"] : x["end_pos"]] == x["piece"] and len(x["piece"]) <= c
-            assert x["start_pos"] == (end - (o or 0) if k else 0)
+            assert x["start_pos"] == (end - o if k else 0)
             end = x["end_pos"]
         assert end == len(t) and len(p) > 1
 
@@ -103,7 +105,7 @@ def test_oversized_rows_join_their_configuration(spark):
     files = spark.createDataFrame([("a", 1), ("a", 1), ("c", 2), (None, 2)], "relative_path string, config_id long")
     configs = spark.createDataFrame([(1, 10, 2), (2, 20, 2)], "config_id long, chunk_size long, overlap_chars long")
     assert [r["row_id"] for r in splitting.oversized(sessions, files, configs).collect()] == [1]
-    assert [(r["start_pos"], r["end_pos"]) for r in splitting.pieces(sessions, files, configs).orderBy("piece_no").collect()] == [(0, 8), (6, 11)]
+    assert [(r["start_pos"], r["end_pos"]) for r in splitting.pieces(sessions, files, configs).orderBy("piece_no").collect()] == [(0, 10), (8, 11)]
     assert splitting.oversized(sessions.limit(0), files, configs.limit(0)).count() == 0
 
 
