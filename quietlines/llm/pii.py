@@ -2,10 +2,13 @@
 
 Method: patterns propose candidate spans of five kinds; several weak labelers per
 kind (format rules, gazetteers, word endings, left and right context, neighbouring
-characters) vote for, against or abstain. The vote patterns of the whole corpus are
+characters) vote for, against or abstain. The gazetteers hold common given names, endings
+of family names and common words of several languages, the contexts are headers, titles,
+greetings and delimiters: general knowledge, nothing of a particular corpus. The vote patterns of the whole corpus are
 counted, expectation maximisation estimates how reliable each labeler is and how
 likely each vote pattern marks a true mention, and a logistic span classifier over
-votes, shapes and context words is trained on those probabilities. It decides every
+votes, shapes, the words of the span and those around it is trained on those
+probabilities; so it learns names, places and turns of phrase no list has. It decides every
 candidate; overlapping candidates of a text go to the most probable, then the longest.
 
 Counts cover all candidates. Only the classifier is fitted on a bounded sample
@@ -33,32 +36,46 @@ KINDS = ("email", "phone", "national_id", "address", "name")
 #: Candidates per kind, about, on which the span classifier is fitted.
 TRAIN_ROWS = 8000
 #: Length of the classifier's weight vector; features are hashed into it.
-BUCKETS = 4096
+BUCKETS = 1 << 15
 #: Rounds of expectation maximisation at most.
 EM_ROUNDS = 60
+#: Share of an abstention's log-odds that counts, and the unopposed votes that settle a pattern.
+ABSTAIN, SURE = 0.25, 3
 
-# Given names (gazetteer), in lower case.
+# Common given names of several languages (gazetteer), in lower case.
 GIVEN = frozenset(
-    "saoirse anselm nadezhda ewan noor joren lucía ilse zsófia thabo tomoe april yusra will dorian iris leocadia bastien radko kasimir aurelio ximena hoshiko emeric mark björn caspian oona fenna "
-    "priyanka amara rose tilda solveig chidi mirela anna maria john james robert michael david william richard joseph thomas charles daniel matthew anthony laura sarah emma olivia sophia julia elena "
-    "lucas hugo louis claire camille marie pierre jean luc hans peter klaus jürgen stefan karl heike ingrid sofia pablo carlos josé luis ana carmen javier miguel ivan olga dmitri natasha ahmed fatima "
-    "omar layla ali hassan wei li ming yuki kenji hana sakura raj priya arjun kofi kwame zoë grace alice henry oscar nina eva paul simon lena max felix jonas erik astrid lars freya".split()
-)
-# Endings of family names.
-FAMILY_ENDING = re.compile(
-    r"(?i)(?:hurst|akis|escu|enko|ayan|arez|wick|ford|mann|sen|oglu|elli|inga|atake|moreau|ström|strom|dóttir|dottir|ović|ovic|son|berg|stein|ski|sky|ska|ova|ov|ini|quist|feld|worth|ham|ton|well|ley|field|bauer|mayer|meier|schmidt|ez|ian|yan|vich|wicz|nen)$"
+    "james john robert michael william david richard joseph thomas charles daniel matthew anthony mark paul steven andrew george edward henry peter mary patricia jennifer linda elizabeth barbara susan sarah karen nancy lisa emily emma olivia sophia alice grace rose helen "
+    "hans klaus jürgen stefan karl wolfgang heike sabine monika petra ingrid ursula lukas felix jonas jean pierre michel philippe louis hugo lucas camille marie claire sophie isabelle nathalie josé juan carlos luis antonio javier miguel pablo maría carmen ana lucía elena isabel sofía "
+    "giuseppe giovanni marco luca francesco giulia francesca chiara joão pedro paulo beatriz jan piet johan willem anneke lars erik björn anders olaf astrid freya ingrid mikko antti aino ivan dmitri sergei alexei olga natasha anna tatiana piotr krzysztof agnieszka katarzyna "
+    "mehmet mustafa ahmed mohammed omar ali hassan fatima aisha layla yusuf ibrahim raj arjun priya rahul anjali wei ming li fang yuki kenji hiroshi sakura hana haruto minh linh kofi kwame amina chinedu ngozi thandi sipho".split()
 )
+# Endings of family names, by language.
+ENDINGS = (
+    "son sson sen strom ström quist qvist berg lund holm gren dahl dottir dóttir nen "
+    "mann stein feld bauer mayer meyer meier maier huber schmidt bach "
+    "ford ton ham worth hurst wick well ley field land wood man smith "
+    "stra sma inga ema eau ault ez elli etti ini otti ucci "
+    "ski sky ska cki enko chuk icz wicz vich vić ović ovic ević evic ić ova ov eva ev "
+    "escu eanu akis idis poulos oglu oğlu ian yan dze shvili moto yama mura take saki gawa kawa shima"
+).split()
+FAMILY_ENDING = re.compile(rf"(?i)\w\w(?:{'|'.join(ENDINGS)})$")
 PARTICLE = r"(?:von|van der|van den|van|de la|de los|de|del|della|di|da|dos|du|le|la|bin|ibn|al|el|ter|zu|VON|VAN DER|VAN|DE LA|DE|DEL|DI|DA)"
 # Words that stand beside names or open sentences but belong to no name.
 NOT_NAME = frozenset(
-    "ask hi hello dear thanks thank cheers regards best kind attn author from to cc reviewed signed date change row the a an for see next let please tests could ich he done job run route build ports tarn matrix checksum mail set "
-    "bitte escribe merci le la el die der das les and or if in on at by with of is are was were will not no new old this that owner ticket laptop ship deliver patient record customer passport found user name tel mail port subject "
-    "visual studio apache spark main branch release notes quick start section friday morning monday tuesday wednesday thursday saturday sunday january february march june july august september october november december road test street avenue "
-    "engine gateway viewer scheduler editor server client service manager browser compiler console dashboard pipeline runner worker queue table index cluster node session report build version google microsoft amazon linux windows android python java "
-    "mr mrs ms dr prof sir madam herr frau señor señora monsieur madame traceback error warn info debug clone pinned grace mc st ave blvd rd lane court terrace drive close mews street calle rue straße north south east west apt flat begin end vcard "
-    "low mill foundry saltmarsh ninefold quillfeather brackenside larkspur tanner's port calder wexley ferry villaluenga baja las norias am mühlquell steinlohe vieux lavoir read write open data base code review".split()
+    "the a an this that these those and or but if in on at by with of for from to as into over under between once is are was were be been has have had do does did not no new old all any each every both some such see next let please could would should cannot must "
+    "he she it we they you i his her its our their your who whom what when where why how der die das ein eine und oder mit von zu im am ich wir sie le la les un une et ou avec je nous el los las uno una y con yo merci bitte por para "
+    "ask hi hello dear thanks thank cheers regards best kind attn author cc reviewed signed owner name user customer patient passport record mail tel phone fax port subject date change row line file table column build job run route version release checksum matrix "
+    "mr mrs ms miss dr prof sir madam herr frau señor señora monsieur madame "
+    "monday tuesday wednesday thursday friday saturday sunday january february march july september october november december morning evening today tomorrow yesterday "
+    "road street avenue lane court terrace drive close mews square place boulevard calle rue straße flat apt suite floor north south east west st ave blvd rd "
+    "main branch notes quick start begin end section page chapter figure read write open data base code review visual error warn info debug traceback found set insert values select update delete "
+    "google microsoft amazon apple apache linux windows android python java".split()
+)
+# What software, services and their parts are called.
+PRODUCT = frozenset(
+    "engine gateway viewer scheduler editor studio server client service manager browser compiler console dashboard pipeline runner worker queue cluster node index builder loader parser proxy monitor tracker router cloud platform framework library toolkit desktop mobile pro spark "
+    "test branch notes start section report record release layer".split()
 )
-PRODUCT = frozenset("engine gateway viewer scheduler editor studio spark branch notes start morning server client service manager browser compiler console dashboard pipeline runner worker queue cluster test tiles layer monday friday section road street release record report".split())
 
 _CAP = r"(?:(?:O|D|Ó)['’]|Mc|Mac)?[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ][a-zß-öø-ÿāćčłőšžǻ]+(?:[A-Z][a-zß-öø-ÿāćčłőšž]+)?"
 _CAPS = rf"{_CAP}(?:[-‑]{_CAP})?"
@@ -67,29 +84,36 @@ _LOW = r"(?:o['’])?[a-zß-öø-ÿāćčłőšž]{3,}(?:[-‑](?:o['’])?[a-z
 _FAMILY, _FAMILY_UP, _FAMILY_LOW = rf"(?:(?:[AaEe]l|[Bb]en|[Bb]in)-)?{_CAPS}", rf"(?:(?:[AaEe]l|AL|EL)-)?{_UP}", rf"(?:(?:al|el|bin)-)?{_LOW}"
 _INIT = r"[A-ZÀ-ÖØ-Þ]\."
 _HAN = r"[々㐀-䶿一-鿿]"
-_EDGE, _SIDE = r"(?<![\w@./'’-])", r"(?![\w@'’/]|-\w|\.\w)"
+# An apostrophe is part of a word only between letters; elsewhere it is a quote.
+_EDGE, _SIDE = r"(?<![\w@./-])(?<!\w['’])", r"(?![\w@/]|['’](?!s\b)\w|-\w|\.\w)"
 NAME_FORMS = (
     ("mixed", re.compile(rf"{_EDGE}(?=((?:{_INIT}|{_CAPS})(?: {_INIT}){{0,2}}(?: {PARTICLE})? {_FAMILY}){_SIDE})")),
     ("three", re.compile(rf"{_EDGE}(?=({_CAPS} {_CAPS} {_CAPS}){_SIDE})")),
     ("upper", re.compile(rf"{_EDGE}(?=((?:{_INIT}|{_UP})(?: {_INIT}){{0,2}}(?: {PARTICLE})? {_FAMILY_UP}){_SIDE})")),
-    ("lower", re.compile(rf"{_EDGE}(?=((?:{'|'.join(sorted(GIVEN, key=len, reverse=True))})(?:[-‑]{_LOW})?(?: [a-z]\.)?(?: {PARTICLE})? {_FAMILY_LOW}){_SIDE})")),
     ("reversed", re.compile(rf"{_EDGE}(?=((?:{PARTICLE} )?{_FAMILY}, (?:{_CAPS}|{_INIT})(?: {_INIT})?){_SIDE})")),
     ("han", re.compile(rf"(?<!{_HAN})(?=({_HAN}{{2,7}})(?!{_HAN}))")),
 )
+# Lower-case names are looked up from the ending of the family name back.
+_LOW_END = re.compile(rf"(?<=[a-zß-öø-ÿāćčłőšžǻ]{{2}})(?:{'|'.join(ENDINGS)})(?!\w)")
+_LOW_BACK = re.compile(rf"{_EDGE}(?P<name>(?P<first>{_LOW})(?: [a-z]\.)?(?: {PARTICLE})? {_FAMILY_LOW})$")
+# What stands before a name: labels, headers, titles, greetings, delimiters.
 NAME_LEFT = re.compile(
-    r"(?:\b(?:author|from|to|reviewed-by|signed-off-by|co-authored-by|name|fn|holder|who|owner|owner as|attn\.?|assignee|contact|by|says|ask|hi|hello|dear(?: (?:ms|mr|mrs|dr)\.?)?|thanks,?|bitte|laptop of|came from|spoke to|dossier de|full_name|customer|patient|de|user)[\s\"':=]*|<name>|\n|^|--\n|\| |, '|\d,|\">|record \d+: |Ms\. |Mr\. |Dr\. | and )$", re.I
+    r"(?i)(?:\b(?:\w*name|fn|author|from|to|cc|by|reviewed-by|signed-off-by|co-authored-by|who|holder|owner|assignee|contact|attn\.?|customer|client|patient|employee|user|person|sender|recipient)[\"']?\s*[:=]\s*[\"']?"
+    r"|\b(?:mr|mrs|ms|miss|dr|prof|herr|frau|señora?|monsieur|madame)\.? |\b(?:attn\.|hi|hello|dear|thanks,?|regards,) |<\w*name>|[\"']?>|^|\n|\| |[(,] ?[\"']|\d,)$"
 )
-NAME_RIGHT = re.compile(r"(?i)^(?:\s*<[^>\s]*@|</name>|</a>| wants\b| touched\b|, who\b|, born\b| cannot\b| in the \S+ channel| about\b| aparece\b| indique\b| unter\b| and [A-ZÀ-Þ]|, your\b|, the\b|; phone|\"|',|',? |\n| \||\.?$|,[+\d(]|\. )")
+NAME_LINK = re.compile(r"(?i)\b(?:by|of|from|to|with|for|as|and|von|bei|mit|de|du|par|à|con|por|para)\s$")
+NAME_RIGHT = re.compile(r"^(?:\s*<[^>\s]*@|</|[\"']|\s*$|\s*\n|,(?=\S)|, (?:who|born|your|the|aged)\b| \||;)")
 
 _LOCAL = r"[^\W_](?:[\w.+%-]*[\w+-])?(?:['’][^\W_](?:[\w.+-]*[\w+-])?)*"
 _LABEL = r"[^\W_](?:[^\W_]|-(?=[^\W_]))*"
+_AT = r"(?<![\w.+@-])(?<!\w['’])"
 EMAIL_FORMS = (
-    ("plain", re.compile(rf"(?<![\w.+'’@-]){_LOCAL}@{_LABEL}(?:\.{_LABEL})+(?![\w@]|-\w)")),
-    ("escaped", re.compile(rf"(?<![\w.+'’@-])(?:(?!%40)[\w.+'’-])+%40{_LABEL}(?:\.{_LABEL})+(?![\w@]|-\w)")),
-    ("bracketed", re.compile(rf"(?<![\w.+'’@-]){_LOCAL} ?[\[({{<] ?(?:at|@|AT) ?[\])}}>] ?{_LABEL}(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?){_LABEL})+(?![\w@]|-\w)")),
-    ("spelled", re.compile(rf"(?<![\w.+'’@-]){_LOCAL} (?:at|AT) {_LABEL}(?: (?:dot|DOT) {_LABEL})+(?![\w@]|-\w)")),
+    ("plain", re.compile(rf"{_AT}{_LOCAL}@{_LABEL}(?:\.{_LABEL})+(?![\w@]|-\w)")),
+    ("escaped", re.compile(rf"{_AT}(?:(?!%40)[\w.+'’-])+%40{_LABEL}(?:\.{_LABEL})+(?![\w@]|-\w)")),
+    ("bracketed", re.compile(rf"{_AT}{_LOCAL} ?[\[({{<] ?(?:at|@|AT) ?[\])}}>] ?{_LABEL}(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?){_LABEL})+(?![\w@]|-\w)")),
+    ("spelled", re.compile(rf"{_AT}{_LOCAL} (?:at|AT) {_LABEL}(?: (?:dot|DOT) {_LABEL})+(?![\w@]|-\w)")),
 )
-EMAIL_LEFT = re.compile(r"(?i)(?:<|mailto:|to: |from: |cc |mail[:=\"' ]*|email[:=\"' ]*|contact\"?[:= \"']*|user=|to=|à |a |and |summary to |\| |, '|,)$")
+EMAIL_LEFT = re.compile(r"(?i)(?:<|mailto:|\b(?:to|from|cc|bcc|reply-to)[:=]? ?|mail[:=\"' ]*|contact\"?[:= \"']*|user=|\b(?:à|a|an|and|at) |\| |[(,] ?[\"']|,)$")
 FILE_ENDING = re.compile(r"(?i)\.(?:png|jpg|jpeg|gif|svg|py|js|ts|rs|go|md|sql|sh|java|toml|yaml|json|csv|txt)$")
 
 PHONE_FORMS = (
@@ -100,12 +124,12 @@ PHONE_FORMS = (
     ("french", re.compile(r"(?<![\w.+-])0\d(?:[.  ]\d\d){4}")),
     ("slashed", re.compile(r"(?<![\w.+/-])0\d{2,4}[/ ]\d{4,6}(?:-\d{1,4})?")),
     ("mobile", re.compile(r"(?<![\w.+-])0\d{4}[  ]\d{6}|(?<![\w.+-])0\d{3}[  ]\d{3}[  ]\d{4}|(?<![\w.+-])020[ ]\d{4}[ ]\d{4}")),
-    ("solid", re.compile(r"(?<![\w.+:/-])\d{10,11}")),
+    ("solid", re.compile(r"(?<![\w.+/-])(?<!\d:)\d{10,11}")),
 )
 WIDE_DIGITS = {0xFF10 + i: 0x30 + i for i in range(10)}
 EXTENSION = re.compile(r"(?i)[ ,]{0,2}(?:x|ext\.?|extension|durchwahl|poste)[ .:]{0,2}\d{1,6}")
-PHONE_LEFT = re.compile(r"(?i)(?:tel|phone|call|ring|reach(?:ed)?|under|unter|callback|llama al|me on|cell|fax|mobile|\bor|and|,|<tel>|\n)\W{0,4}$")
-PHONE_AGAINST = re.compile(r"(?i)(?:job|build|sha|epoch|ports?|version|line|row|rows|lines|id|ssn|checksum|shape is|took|at|commit|run|ip)[=:# ]{0,2}$")
+PHONE_LEFT = re.compile(r"(?i)(?:tel|telephone|phone|telefon|teléfono|téléphone|call|ring|dial|reach|under|unter|callback|cell|fax|mobile|handy|\b(?:on|at|al|au|or|and)|,|<tel>|\n)\W{0,4}$")
+PHONE_AGAINST = re.compile(r"(?i)(?:job|build|sha|epoch|timestamp|ports?|version|line|rows?|lines|id|ssn|checksum|commit|run|ip|order|size|bytes)[=:# ]{0,2}$")
 
 ID_FORMS = (
     ("ssn", re.compile(r"(?<![\w.+-])\d{3}([- ])\d{2}\1\d{4}(?![\w-]|[ .]\d)")),
@@ -117,7 +141,7 @@ ID_FORMS = (
     ("tax", re.compile(r"(?<![\w.+-])\d{2} \d{3} \d{3} \d{3}(?![\w-]|[ .]\d)")),
     ("chinese", re.compile(r"(?<![\w.+-])\d{17}[\dX](?![\w-])")),
 )
-ID_LEFT = re.compile(r"(?i)(?:ssn|tax id|passport|dni|identity (?:number|card)|steuernummer|national id|insurance|personal id|\bid|verified|, ')\W{0,4}$")
+ID_LEFT = re.compile(r"(?i)(?:ssn|social security|tax id|tin|passport|dni|nie|cpf|nino|identity (?:number|card)|steuernummer|ausweis|national id|insurance|personal id|\bid|[(,] ?['\"])\W{0,4}$")
 ID_AGAINST = re.compile(r"(?i)(?:sha|commit|checksum|run id|job|build|order|version|epoch|phone|tel|call|ring|under)\W{0,3}$")
 
 _STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Terrace|Ter|Close|Mews|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Crescent|Row|Gardens|Grove|Hill|Parade|Walk)\.?"
@@ -134,9 +158,9 @@ ADDRESS_FORMS = (
     ("short", re.compile(rf"(?<![\w.,-])\d{{1,5}}[a-z]?(?: (?!St |Ave |Rd ){_WORD}){{1,4}}? {_STREET}{_GAP}{_TOWN}(?!\w)")),
     ("lower", re.compile(rf"(?<![\w.,:-])\d{{1,5}}(?: [a-z'’]+){{1,3}}? (?:street|st|road|rd|avenue|ave|lane|drive|court|terrace|close|mews|blvd|way|place)\.?,? {_LOWTOWN}(?: {_LOWTOWN})?(?!\w)")),
 )
-ADDRESS_LEFT = re.compile(r"(?i)(?:pickup at|unit to|on file is|deliver to:|lives at|\"?street\"?: ?\"?|indique|ging an|address:?|ship to|\n)\s*$")
-ADDRESS_RIGHT = re.compile(r"(?i)^(?: between| and close|; geocoder|\n|\.|\"|'| comme|, steuer|$)")
-ADDRESS_AGAINST = re.compile(r"(?i)tiles|layer|road test|traceback|\bport\b (?!calder)|version|rows")
+ADDRESS_LEFT = re.compile(r"(?i)(?:\b(?:address|adresse|anschrift|dirección|domicil\w*|residence|home|street|location|ship(?:ped)? to|deliver(?:ed)? to|lives? at|located at|at|to|an|in|is)\b[\"']?\s*:?\s*[\"']?|\n)\s*$")
+ADDRESS_RIGHT = re.compile(r"^(?:\s*$|\n|[.;,\"')<]|\s(?:and|or|between|is|for|as|et|comme|und)\b)")
+ADDRESS_AGAINST = re.compile(r"(?i)\b(?:tests?|layers?|tiles|traceback|version|rows|lines|ports?|error)\b")
 
 
 def _folded(word: str) -> str:
@@ -145,10 +169,10 @@ def _folded(word: str) -> str:
 
 def _name_votes(text: str, s: int, e: int, form: str) -> list[int]:
     span, left, right = text[s:e], text[max(0, s - 24) : s], text[e : e + 24]
-    cue, after = (1 if NAME_LEFT.search(left) else 0), (1 if NAME_RIGHT.search(right) else 0)
+    cue, after, link = (1 if NAME_LEFT.search(left) else 0), (1 if NAME_RIGHT.search(right) else 0), (1 if NAME_LINK.search(left) else 0)
     if form == "han":
         share = sum(1 for c in text[max(0, s - 40) : e + 40] if "　" < c < "ꀀ") - (e - s)
-        return [0, 0, cue, after, 0, 1 if 3 <= e - s <= 6 else -1, 1 if share == 0 else -1]
+        return [0, 0, cue, after, 0, 1 if 3 <= e - s <= 6 else -1, 1 if share == 0 else -1, link]
     parts = span.replace(",", "").split()
     first, last = (parts[-1], parts[0]) if form == "reversed" else (parts[0], parts[-1])
     if form == "reversed" and len(parts) > 2 and len(parts[-1]) == 2:
@@ -156,16 +180,16 @@ def _name_votes(text: str, s: int, e: int, form: str) -> list[int]:
     given = all(_folded(p) in GIVEN for p in re.split(r"[-‑]", first))
     initial = bool(re.fullmatch(r"\w\.", first))
     ending = bool(FAMILY_ENDING.search(_folded(last)))
-    v_given = 1 if given else -1 if _folded(first) in NOT_NAME or _folded(first) in PRODUCT else 0
+    v_given = 1 if given else -1 if not initial and (_folded(first) in NOT_NAME or _folded(first) in PRODUCT) else 0
     v_family = -1 if _folded(last) in PRODUCT or _folded(last) in NOT_NAME else 1 if ending else -1 if form == "lower" else 0
     v_place = -1 if _folded(last) in GIVEN and not ending or form != "reversed" and any(_folded(p) in NOT_NAME for p in parts[1:-1] if not re.fullmatch(PARTICLE, p)) else 0
     # A capital word right before or after makes the span a piece of a longer one.
     before = re.search(r"(\S+) $", left)
-    longer = before and re.fullmatch(r"[A-ZÀ-Þ][\w'’-]*", before[1]) and _folded(before[1]) in GIVEN
+    longer = before and re.fullmatch(r"[A-ZÀ-Þ][\w'’-]*", before[1]) and _folded(before[1]) not in NOT_NAME
     beyond = re.match(rf" (?:{PARTICLE} )?[A-ZÀ-Þ][\wß-ÿ]", right) and bool(re.fullmatch(r"\w\.", parts[-1]) or not ending)
     v_edge = -1 if longer or beyond else 0
     v_shape = 1 if initial and ending or given and ending else 0
-    return [v_given, v_family, cue, after, v_place, v_edge, v_shape]
+    return [v_given, v_family, cue, after, v_place, v_edge, v_shape, link]
 
 
 def _votes(kind: str, text: str, s: int, e: int, form: str) -> list[int]:
@@ -214,7 +238,7 @@ def _votes(kind: str, text: str, s: int, e: int, form: str) -> list[int]:
 
 
 FORMS = {"email": EMAIL_FORMS, "phone": PHONE_FORMS, "national_id": ID_FORMS, "address": ADDRESS_FORMS, "name": NAME_FORMS}
-LABELERS = {"email": 6, "phone": 7, "national_id": 5, "address": 6, "name": 7}
+LABELERS = {"email": 6, "phone": 7, "national_id": 5, "address": 6, "name": 8}
 # Stretches of digits and separators long enough for a number of a person; dates are left out.
 _DIGITS = re.compile(r"(?<![\d])(?!\d{4}-\d\d-\d\d)\d(?:[ ()./\-‐‑\xa0]{0,3}\d){5,}")
 _NUMBERED = ("phone", "national_id")
@@ -223,7 +247,6 @@ _STREET_WORDS = tuple(
     f" {w}" for word in "street st road rd avenue ave lane ln drive dr court ct terrace close mews boulevard blvd way place pl square sq crescent row gardens grove hill parade walk".split() for w in (word, word.capitalize())
 ) + ("rue ", "Calle ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "C/", "Av.")
 _CAPITALS = re.compile(rf"[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ][\w.'’‑-]*,? (?:{PARTICLE} )?(?:[A-Za-z]{{2,3}}-)?[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ]")
-_APART = str.maketrans(dict.fromkeys("\"'<>|,;:=({[/-‑)]}.!?", " "))
 
 
 def _matches(kind: str, text: str) -> Iterator[tuple[str, int, int]]:
@@ -244,14 +267,18 @@ def _matches(kind: str, text: str) -> Iterator[tuple[str, int, int]]:
         open_forms = [f for f in FORMS[kind] if held[f[0]]]
     else:
         capitals = bool(_CAPITALS.search(text))
-        lower = not GIVEN.isdisjoint(text.translate(_APART).split())
         han = not text.isascii()
-        held = {"mixed": capitals, "three": capitals, "upper": capitals, "reversed": capitals and ", " in text, "lower": lower, "han": han}
+        held = {"mixed": capitals, "three": capitals, "upper": capitals, "reversed": capitals and ", " in text, "han": han}
         open_forms = [f for f in FORMS[kind] if held[f[0]]]
+        for ending in _LOW_END.finditer(text):
+            low = max(0, ending.end() - 80)
+            if (name := _LOW_BACK.search(text, low, ending.end())) and name["first"] not in NOT_NAME and name["name"].rpartition(" ")[2] not in NOT_NAME:
+                yield "lower", *name.span("name")
     group = 1 if kind == "name" else 0
     for form, pattern in open_forms:
         for m in pattern.finditer(text):
-            yield form, *m.span(group)
+            if kind != "name" or form in ("han", "reversed") or m[1][1] == "." or _folded(m[1].partition(" ")[0]) not in NOT_NAME:
+                yield form, *m.span(group)
 
 
 @lru_cache(1 << 16)
@@ -267,8 +294,13 @@ def _features(kind: str, text: str, s: int, e: int, form: str, votes: list[int])
     after = _PIECES.findall(text, e, e + 20)[:2]
     span = text[s:e]
     shape = _REPEATED.sub(r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in span))[:16]
-    last = _folded(span.split()[-1])
+    words = span.split()
+    first, last = _folded(words[0]), _folded(words[-1])
+    if kind == "name" and form == "reversed":
+        first, last = last, first
     found = [_hashed(kind, "bias"), _hashed(kind, form), _hashed(kind, "shape", shape), _hashed(kind, "end", last[-4:])]
+    if kind == "name":
+        found += [_hashed(kind, "first", first), _hashed(kind, "last", last), _hashed(kind, "begin", last[:4])]
     found += [_hashed(kind, "vote", i, v) for i, v in enumerate(votes)]
     found += [_hashed(kind, "before", i, w.lower()) for i, w in enumerate(reversed(before))]
     found += [_hashed(kind, "after", i, w.lower()) for i, w in enumerate(after)]
@@ -321,13 +353,18 @@ def estimate(patterns: dict[str, int]) -> tuple[dict[str, float], np.ndarray]:
 
     Returns the probability of a true mention for each pattern and, per labeler,
     P(vote | true) and P(vote | false) with votes in the order against, abstain, for.
-    The start is the sign of the summed votes; counts are smoothed by one.
+    The start is the sign of the summed votes; counts are smoothed by one. A labeler that
+    abstains says little of a candidate (`ABSTAIN` of its log-odds), else the contexts in
+    which mentions often stand would pass for the mentions themselves. Patterns without a
+    vote for stay false, those with at least `SURE` votes for and none against stay true;
+    they keep the two classes apart.
     """
     keys = sorted(patterns)
     votes = np.array([["-0+".index(c) for c in k] for k in keys])
     weight = np.array([patterns[k] for k in keys], float)
     total = (votes - 1).sum(axis=1)
     true = np.where(total > 1, 0.9, np.where(total > 0, 0.6, 0.1))
+    lost, sure = ~(votes == 2).any(axis=1), ((votes == 2).sum(axis=1) >= SURE) & ~(votes == 0).any(axis=1)
     table = np.zeros((2, votes.shape[1], 3))
     for _ in range(EM_ROUNDS):
         prior = (weight @ true + 1) / (weight.sum() + 2)
@@ -336,8 +373,9 @@ def estimate(patterns: dict[str, int]) -> tuple[dict[str, float], np.ndarray]:
                 table[c, j] = np.bincount(votes[:, j], weight * p, minlength=3) + 1
             table[c] /= table[c].sum(axis=1, keepdims=True)
         logs = np.log(table)
+        logs[:, :, 1] *= ABSTAIN
         gap = np.log(prior) - np.log1p(-prior) + sum(logs[0, j, votes[:, j]] - logs[1, j, votes[:, j]] for j in range(votes.shape[1]))
-        new = 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
+        new = np.where(lost, 0.02, np.where(sure, 0.98, 1 / (1 + np.exp(-np.clip(gap, -30, 30)))))
         if np.abs(new - true).max() < 1e-5:
             true = new
             break
