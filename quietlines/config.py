@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 MODES = ("mask", "remove", "hash", "replace")
@@ -41,6 +42,11 @@ class RedactionConfig:
         if self.mode not in MODES:
             raise ValueError(f"unknown redaction mode {self.mode!r}; known: {', '.join(MODES)}")
 
+    def require_model(self, supported: Sequence[str] | None) -> None:
+        """Refuse a model that the place of work does not have."""
+        if self.model_enabled and supported is not None and self.model_name not in supported:
+            raise ValueError(f"unsupported remote model {self.model_name!r}; supported: {', '.join(supported)}")
+
     def require_a_pass(self) -> None:
         if not (self.regex_enabled or self.model_enabled):
             raise ValueError("both the rules and the model are switched off; nothing would be redacted")

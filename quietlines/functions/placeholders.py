@@ -12,7 +12,7 @@ from quietlines.config import PLACEHOLDER_STARTS
 
 def stable_hash(value: str, label: str, seed: int) -> str:
     """First ten hex digits of the SHA-256 of `seed|label|value`."""
-    return hashlib.sha256(f"{seed}|{label}|{value}".encode("utf-8", "surrogatepass")).hexdigest()[:10]
+    return hashlib.sha256(f"{seed}|{label}|{value}".encode("utf-8", "replace")).hexdigest()[:10]
 
 
 def is_placeholder(value: str) -> bool:

@@ -22,6 +22,17 @@ class Rule(NamedTuple):
     suffix: str = ""
     fold: bool = False
 
+    def marks(self) -> tuple[str, ...]:
+        """The texts of which the gate asks for one, written out; in lower case where case does not matter."""
+        found = []
+        for part in self.gate.split("|"):
+            spelled = [""]
+            for sign, kinds, optional in re.findall(r"(\[([^\]]+)\]|.)(\??)", part):
+                choices = [*(kinds or sign), *([""] if optional else [])]
+                spelled = [s + c for s in spelled for c in choices]
+            found += spelled
+        return tuple(found)
+
     def python(self) -> re.Pattern[str]:
         return re.compile(f"({self.prefix})({self.value})({self.suffix})", re.IGNORECASE if self.fold else 0)
 

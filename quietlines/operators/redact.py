@@ -20,15 +20,26 @@ from quietlines.config import RedactionConfig
 from quietlines.functions.placeholders import is_placeholder, is_placeholder_column, replacement, replacement_column
 from quietlines.functions.rules import RULES
 
-_COMPILED = [(r.name, r.python(), r.python_gate()) for r in RULES]
+_COMPILED = [(r.name, r.python(), r.python_gate(), r.fold, r.marks()) for r in RULES]
 RESULT = "struct<text:string, regex_counts:map<string,bigint>>"
 
 
 def apply_rules(text: str, mode: str, seed: int, counts: Counter, names: frozenset[str] | None = None) -> str:
     """One pass of the rules over one text; `counts` is added to."""
-    for name, pattern, gate in _COMPILED:
-        if names is not None and name not in names or not gate.search(text):
+    low = text.lower() if text.isascii() else None  # plain search is enough where folding is simple
+    for name, pattern, gate, fold, marks in _COMPILED:
+        if names is not None and name not in names:
             continue
+        if low is None:
+            if not gate.search(text):
+                continue
+        else:
+            held = low if fold else text
+            for mark in marks:
+                if mark in held:
+                    break
+            else:
+                continue
 
         def put(m, name=name) -> str:
             value = m.group(2)
@@ -37,7 +48,18 @@ def apply_rules(text: str, mode: str, seed: int, counts: Counter, names: frozens
             counts[name] += 1
             return m.group(1) + replacement(value, name, mode, seed) + m.group(3)
 
-        text = pattern.sub(put, text)
+        new = pattern.sub(put, text)
+        if new is not text and new != text:
+            text, low = new, new.lower() if new.isascii() else None
+    return text
+
+
+def apply_passes(text: str, mode: str, seed: int, counts: Counter, passes: int, names: frozenset[str] | None = None) -> str:
+    """Up to `passes` passes; one that changes nothing is the last, since the next could not either."""
+    for _ in range(passes):
+        before, text = text, apply_rules(text, mode, seed, counts, names)
+        if text == before:
+            break
     return text
 
 
@@ -47,8 +69,7 @@ def redact_text(text: str | None, config: RedactionConfig, passes: int = 2) -> t
         return None, {}
     counts: Counter = Counter()
     if config.regex_enabled:
-        for _ in range(passes):
-            text = apply_rules(text, config.mode, config.seed, counts)
+        text = apply_passes(text, config.mode, config.seed, counts, passes)
     return text, dict(counts)
 
 
@@ -64,9 +85,7 @@ def redacted(text: Column, config: RedactionConfig, passes: int = 2, rules: tupl
             counted: list[dict[str, int]] = []
             for t in texts:
                 counts: Counter = Counter()
-                for _ in range(passes if t is not None else 0):
-                    t = apply_rules(t, mode, seed, counts, names)
-                done.append(t)
+                done.append(None if t is None else apply_passes(t, mode, seed, counts, passes, names))
                 counted.append(dict(counts))
             yield pd.DataFrame({"text": pd.Series(done, dtype=object), "regex_counts": pd.Series(counted, dtype=object)})
 

@@ -209,13 +209,13 @@ def rejected_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
 def valid_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
     """The rows whose `raw` is one JSON value."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    shallow = _matches(F.col(raw), json_pattern())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield plain(rows).loc[[t is not None and scan_json(t) is None for t in rows[raw]]].reset_index(drop=True)
+            kept = [ok or t is not None and scan_json(t) is None for ok, t in zip(rows["_shallow"], rows[raw], strict=True)]
+            yield plain(rows).loc[kept].drop(columns="_shallow").reset_index(drop=True)
 
-    return df.where(shallow).unionByName(df.where(~shallow).mapInPandas(run, fields))
+    return df.withColumn("_shallow", _matches(F.col(raw), json_pattern())).mapInPandas(run, fields)
 
 
 def load_records(df: DataFrame, raw: str = "raw", schema: tuple[tuple[str, str], ...] = REPORT_SCHEMA) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,28 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and return a reader of the copy.
 
-    The folder is the session's `spark.checkpoint.dir`; only where none is set
-    (local tests) a temporary folder of this machine is used.
+    The folder is the session's `spark.checkpoint.dir`. Where none is set, a local session
+    (tests, one machine) gets a temporary folder; on a cluster, whose executors would not
+    see it, that is an error. With `spark.cleaner.referenceTracking.cleanCheckpoints` the
+    copies are removed once nothing refers to them.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quietlines-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="quietlines-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, wide: int | None = None) -> DataFrame:
-    """Give CPU-bound Python stages enough tasks when a small file would be one split.
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, salt_from: str | None, salts: int = 8, how: str = "inner") -> DataFrame:
+    """Join `rows` to a table with unique `key`; a hot key is spread over `salts` tasks, by `salt_from` or by the partition a row comes from.
 
-    Rows are dealt out round robin, so one long file or hot key cannot fill one task.
+    Both stay the same when a lost task is repeated.
     """
-    wanted = wide or max(df.sparkSession.sparkContext.defaultParallelism, 2) * 2
-    return df.repartition(wanted)
-
-
-def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, salt_from: str, salts: int = 8, how: str = "inner") -> DataFrame:
-    """Join `rows` to a table with unique `key`; a hot key is spread over `salts` tasks."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
+    seed = F.xxhash64(salt_from) if salt_from else F.spark_partition_id()
+    left = rows.withColumn("_salt", F.pmod(seed, F.lit(salts)).cast("int"))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 

@@ -74,8 +74,8 @@ def common_parent(paths: list[Path]) -> Path:
     return Path(os.path.commonpath([p.resolve() for p in paths]))
 
 
-def measure(path: str) -> tuple[int, bool]:
-    """(lines, binary) of a file; unreadable files count as binary."""
+def measure(path: str) -> tuple[int | None, bool]:
+    """(lines, binary) of a file; the lines of a file that cannot be read are unknown."""
     lines, last, first = 0, b"\n", True
     try:
         with open(path, "rb") as f:
@@ -86,7 +86,7 @@ def measure(path: str) -> tuple[int, bool]:
                 lines += block.count(b"\n")
                 last = block[-1:]
     except OSError:
-        return 0, True
+        return None, False
     return lines + (last != b"\n"), False
 
 
@@ -98,7 +98,7 @@ def measured(spark: SparkSession, files: list[Listed], warn_mb: int = 50) -> Dat
         for rows in batches:
             sizes = [measure(p) for p in rows["path"]]
             rows["filename"] = [os.path.basename(p) for p in rows["path"]]
-            rows["line_count"], rows["binary"] = [s[0] for s in sizes], [s[1] for s in sizes]
+            rows["line_count"], rows["binary"] = pd.array([s[0] for s in sizes], dtype="Int64"), [s[1] for s in sizes]
             yield rows[["path", "relative_path", "filename", "size_bytes", "line_count", "binary"]]
 
     wide = max(1, min(len(files), spark.sparkContext.defaultParallelism * 4))
@@ -113,8 +113,53 @@ def measured(spark: SparkSession, files: list[Listed], warn_mb: int = 50) -> Dat
     )
 
 
+def list_roots(roots: Iterable[str | Path]) -> list[Listed]:
+    """The files of several roots, each once; names that two roots share get the root's name before them."""
+    found: dict[str, Listed] = {}
+    real: set[str] = set()
+    for root in roots:
+        for f in list_root(root):
+            if f.path in real:
+                continue
+            real.add(f.path)
+            name, n = f.relative_path, 1
+            while name in found:
+                n += 1
+                name = f"{Path(root).expanduser().resolve().name or 'root'}{'' if n == 2 else f'-{n}'}/{f.relative_path}"
+            found[name] = f._replace(relative_path=name)
+    return list(found.values())
+
+
 def discover_roots(spark: SparkSession, roots: Iterable[str | Path], warn_mb: int = 50) -> DataFrame:
-    return measured(spark, [f for root in roots for f in list_root(root)], warn_mb).orderBy("relative_path")
+    return measured(spark, list_roots(roots), warn_mb).orderBy("relative_path")
+
+
+def discover_samples(spark: SparkSession, warn_mb: int = 50) -> DataFrame:
+    """The sample sessions that come with the package; all secrets in them are invented."""
+    return discover_roots(spark, [Path(__file__).parent.parent / "samples"], warn_mb)
+
+
+def named_files(value: object) -> list[str]:
+    """Paths from what a caller hands over: nothing, one path, or a list of paths and of objects with a `name`."""
+    if value is None:
+        return []
+    if isinstance(value, (str, Path)):
+        return [str(value)]
+    return [str(v) if isinstance(v, (str, Path)) else str(v.name) for v in value if isinstance(v, (str, Path)) or hasattr(v, "name")]
+
+
+def selection_table(spark: SparkSession, table: object, path_column: int = 2) -> DataFrame:
+    """(selected, relative_path) from a table-like thing: a Spark or pandas frame, `{"data": rows}` or a list of rows.
+
+    In rows the mark comes first and the path stands at `path_column`; shorter rows are dropped.
+    """
+    if isinstance(table, DataFrame):
+        return table.select(F.col("selected").cast("string").alias("selected"), "relative_path")
+    if isinstance(table, dict):
+        table = table.get("data")
+    rows = table.values.tolist() if hasattr(table, "values") else [list(r) for r in table] if isinstance(table, list) else []
+    marks = [(str(r[0]), str(r[path_column])) for r in rows if len(r) > path_column]
+    return spark.createDataFrame(marks, "selected string, relative_path string")
 
 
 def discover_path(spark: SparkSession, path: str | Path, warn_mb: int = 50) -> DataFrame:

@@ -1,8 +1,9 @@
 """The `trace_lines` data source: lines of session files with their numbers.
 
-One partition per file; a file is read line by line with replacement decoding and
-universal line ends, so its memory is one batch of lines. The built-in text source
-gives no numbers, strips byte order marks and drops some names.
+Small files share partitions; a file is read line by line with replacement decoding and
+universal line ends, so its memory is one batch of lines. A file that cannot be read
+gives one row with line number 0 and its `error`. The built-in text source gives no
+numbers, strips byte order marks and drops some names.
 
 Batch: spark.read.format("trace_lines").option("files", json).load() or `read_lines`.
 Stream: spark.readStream.format("trace_lines").option("path", folder).load().
@@ -11,6 +12,7 @@ Stream: spark.readStream.format("trace_lines").option("path", folder).load().
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +20,31 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from quietlines.sources.discovery import Listed, list_root
 
-SCHEMA = "relative_path string, line_number bigint, raw string"
+SCHEMA = "relative_path string, line_number bigint, raw string, error string"
+#: Bytes of files that one partition reads, unless one file alone is larger.
+PER_PARTITION = 128 << 20
 
 
 class FilePartition(InputPartition):
-    def __init__(self, path: str, relative_path: str):
-        self.path, self.relative_path = path, relative_path
+    def __init__(self, files: list[tuple[str, str]]):
+        self.files = files
+
+
+def grouped(files: list[tuple[str, str]], per_partition: int = PER_PARTITION) -> list[FilePartition]:
+    """Files in order, as many to a partition as its size allows."""
+    groups: list[list[tuple[str, str]]] = []
+    held = per_partition + 1
+    for path, name in files:
+        try:
+            size = os.path.getsize(path)
+        except OSError:
+            size = 0
+        if held + size > per_partition:
+            groups.append([])
+            held = 0
+        groups[-1].append((path, name))
+        held += size + (1 << 14)  # opening a file costs too
+    return [FilePartition(g) for g in groups]
 
 
 def lines_of(path: str) -> Iterator[tuple[int, str]]:
@@ -32,16 +53,24 @@ def lines_of(path: str) -> Iterator[tuple[int, str]]:
             yield number, line.rstrip("\r\n")
 
 
+def rows_of(partition: FilePartition) -> Iterator[tuple]:
+    for path, name in partition.files:
+        try:
+            for number, text in lines_of(path):
+                yield (name, number, text, None)
+        except OSError as error:
+            yield (name, 0, None, error.strerror or type(error).__name__)
+
+
 class TraceLinesReader(DataSourceReader):
     def __init__(self, files: list[tuple[str, str]]):
         self.files = files
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(*f) for f in self.files]
+        return grouped(self.files)
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        for number, text in lines_of(partition.path):
-            yield (partition.relative_path, number, text)
+        return rows_of(partition)
 
 
 class TraceLinesStream(DataSourceStreamReader):
@@ -58,11 +87,10 @@ class TraceLinesStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         wanted = set(end["seen"]) - set(start["seen"])
-        return [FilePartition(f.path, f.relative_path) for f in list_root(self.root) if f.relative_path in wanted]
+        return grouped([(f.path, f.relative_path) for f in list_root(self.root) if f.relative_path in wanted])
 
     def read(self, partition: FilePartition) -> Iterator[tuple]:
-        for number, text in lines_of(partition.path):
-            yield (partition.relative_path, number, text)
+        return rows_of(partition)
 
     def commit(self, end: dict) -> None:
         pass

@@ -8,6 +8,7 @@ checkpoint, so no partial output is committed.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -45,19 +46,33 @@ def scrub_stream(lines: DataFrame, config: RedactionConfig, sink: Callable[[Data
 
 
 class ProgressListener(StreamingQueryListener):
-    """Hands (batch id, rows of the batch) to a callback after every batch."""
+    """Hands (batch id, rows so far) to a callback: for the first batch with rows, then whenever `interval`
+    more rows have come and `debounce` seconds have passed, and once more at the end if something is unreported."""
 
-    def __init__(self, report: Callable[[int, int], None]):
-        self.report = report
+    def __init__(self, report: Callable[[int, int], None], interval: int = 1, debounce: float = 0.0, clock: Callable[[], float] = time.monotonic):
+        self.report, self.interval, self.debounce, self.clock = report, max(1, interval), debounce, clock
+        self.rows, self.told, self.told_at, self.batch = 0, 0, 0.0, -1
+
+    def _tell(self) -> None:
+        self.told, self.told_at = self.rows, self.clock()
+        self.report(self.batch, self.rows)
+
+    def seen(self, batch: int, rows: int) -> None:
+        """Count the rows of a batch and report if it is time."""
+        self.rows, self.batch = self.rows + rows, batch
+        due = self.rows - self.told >= self.interval and self.clock() - self.told_at >= self.debounce
+        if self.rows and (not self.told or due):
+            self._tell()
 
     def onQueryStarted(self, event) -> None:
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.report(event.progress.batchId, event.progress.numInputRows)
+        self.seen(event.progress.batchId, event.progress.numInputRows)
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        if self.rows != self.told:
+            self._tell()

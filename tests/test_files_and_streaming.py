@@ -122,3 +122,108 @@ def test_streamed_counts_by_window(spark, tmp_path):
     query = counted.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r["lines"], r["invalid_json_lines"]) for r in spark.table("windows").collect()) == [(1, 0), (2, 1)]
+
+
+def test_one_broken_file_leaves_the_others(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "good.jsonl").write_text('{"a":"TOKEN=abcdefgh"}\n')
+    (root / "deep.jsonl").write_text('{"a":' * 3000 + "1" + "}" * 3000 + "\n")
+    (root / "odd.jsonl").write_text('{"a":"\\ud800"}\n')
+    (root / "gone.jsonl").write_text("{}\n")
+    files = discovery.list_roots([root])
+    (root / "gone.jsonl").unlink()
+    rows = read_lines(spark, spark.createDataFrame([(f.path, f.relative_path) for f in files], "path string, relative_path string"))
+    out = {r["input_relative_path"]: r for r in reports.file_report(api.sanitize_lines(rows, RedactionConfig())).collect()}
+    assert out["gone.jsonl"]["errors"] == ["File processing failed: No such file or directory"] and out["gone.jsonl"]["lines_processed"] == 0
+    assert all(not out[n]["errors"] and out[n]["lines_processed"] == 1 for n in ("good.jsonl", "deep.jsonl", "odd.jsonl"))
+    assert {r["error"] for r in api.sanitize_lines(rows, RedactionConfig(model_enabled=False)).where("relative_path = 'gone.jsonl'").collect()} == {"No such file or directory"}
+
+
+def test_a_file_that_vanishes_is_reported_and_not_packaged(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.jsonl").write_text('{"a":1}\n')
+    (root / "b.jsonl").write_text('{"a":1}\n')
+    found = api.discover_roots
+
+    def then_gone(spark, roots):
+        files = found(spark, roots).persist()
+        files.count()
+        (root / "b.jsonl").unlink()
+        return files
+
+    monkeypatch.setattr(api, "discover_roots", then_gone)
+    report = api.scrub_files(spark, [root], tmp_path / "out", RedactionConfig())
+    by_path = {f["input_relative_path"]: f for f in report["files"]}
+    assert by_path["b.jsonl"]["errors"] == ["File processing failed: No such file or directory"] and by_path["a.jsonl"]["errors"] == []
+    assert (tmp_path / "out/sanitized/a.jsonl").read_text() == '{"a":1}\n' and not (tmp_path / "out/sanitized/b.jsonl").exists()
+    assert report["aggregate_totals"]["errors"] == 1
+
+
+def test_two_roots_with_one_name(spark, tmp_path):
+    for folder, text in (("one/logs", "first"), ("two/logs", "second")):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "s.jsonl").write_text(f'{{"a":"{text}"}}\n')
+    report = api.scrub_files(spark, [tmp_path / "one/logs", tmp_path / "two/logs", tmp_path / "one/logs"], tmp_path / "out", RedactionConfig())
+    names = [f["input_relative_path"] for f in report["files"]]
+    assert names == ["logs/s.jsonl", "s.jsonl"]
+    assert [(tmp_path / "out/sanitized" / n).read_text() for n in names] == ['{"a":"second"}\n', '{"a":"first"}\n']
+
+
+def test_what_a_caller_may_hand_over(spark):
+    import pandas as pd
+
+    class Upload:
+        name = "/x/b.jsonl"
+
+    assert discovery.named_files(None) == [] and discovery.named_files("a") == ["a"] and discovery.named_files(["a", Upload(), 3]) == ["a", "/x/b.jsonl"]
+    rows = [[True, "Codex", "a.jsonl"], ["no", "Pi Agent", "b.jsonl"], [True]]
+    for table in (rows, {"data": rows}, pd.DataFrame(rows[:2])):
+        got = [tuple(r) for r in discovery.selection_table(spark, table).collect()]
+        assert got == [("True", "a.jsonl"), ("no", "b.jsonl")]
+    assert discovery.selection_table(spark, None).count() == 0
+    samples = discovery.discover_samples(spark)
+    assert {(r["agent_guess"], r["line_count"]) for r in samples.collect()} >= {("Codex", 3), ("Claude Code", 3)}
+    table = reports.rows_for_table(samples)
+    assert table.columns == ["selected", "agent_guess", "relative_path", "filename", "size_kb", "line_count", "status"]
+    assert discovery.select_files(samples, discovery.selection_table(spark, table)).count() == 3
+
+
+def test_sample_sessions_hold_every_rule(spark):
+    lines = api.sanitize_lines(read_lines(spark, discovery.discover_samples(spark)), RedactionConfig())
+    found = {k for r in lines.collect() for k in r["regex_counts"]}
+    from quietlines.functions.rules import RULE_NAMES
+
+    assert found == set(RULE_NAMES)
+
+
+def test_progress_events_and_running_totals(spark):
+    rows = [("a", i, {"k": 1} if i % 2 else {}, {}) for i in range(1, 251)] + [("b", 1, {}, {"m": 3})]
+    lines = spark.createDataFrame(rows, "relative_path string, line_number long, regex_counts map<string,bigint>, pii_counts map<string,bigint>")
+    got = [(r["relative_path"], r["line_number"], r["percent"], r["regex_counts"], r["pii_counts"]) for r in reports.progress_events(lines, 100).orderBy("relative_path", "line_number").collect()]
+    assert got == [("a", 1, 0, 1, 0), ("a", 100, 40, 50, 0), ("a", 200, 80, 100, 0), ("a", 250, 100, 125, 0), ("b", 1, 100, 0, 3)]
+    files = spark.createDataFrame([(f"f{i:03d}", i, i % 3) for i in range(100)], "input_relative_path string, lines_processed long, invalid_json_lines long").repartition(7)
+    total = reports.running_totals(files).orderBy("input_relative_path").collect()
+    assert [r["files_so_far"] for r in total] == list(range(1, 101)) and [r["lines_so_far"] for r in total] == [sum(range(i + 1)) for i in range(100)]
+
+
+def test_progress_is_debounced_and_ends_with_all_rows():
+    now, told = [0.0], []
+    listener = scrub.ProgressListener(lambda batch, rows: told.append((batch, rows)), interval=10, debounce=5.0, clock=lambda: now[0])
+    for batch, (rows, at) in enumerate([(0, 0.0), (1, 1.0), (20, 2.0), (20, 7.0), (5, 20.0)]):
+        now[0] = at
+        listener.seen(batch, rows)
+    listener.onQueryTerminated(None)
+    assert told == [(1, 1), (3, 41), (4, 46)]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quietlines.plans.tables import durable
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    context = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)), getConf=lambda: SimpleNamespace(get=lambda name: None), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        durable(SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context)))
