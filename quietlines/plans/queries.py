@@ -65,5 +65,28 @@ def queries() -> dict[str, Query]:
     return drawn | {f"p5_table_{a.partition('-')[0]}": _p5_table(a) for a in ("codex", "claude-code", "pi-agent")}
 
 
+def _record_sql() -> str:
+    """SQL expression for a whole report record."""
+    ws, text = r"[ \t\n\r]*", r'""([^"\\\x00-\x1f]|\\(""|[\\/bfnrt]|u[0-9a-fA-F]{4}))*""'
+    pair = rf"{text}{ws}:{ws}(0|[1-9][0-9]*)"
+    kinds = {
+        "path": r'("([^"]|"")+"|[^",\r\n]+)',
+        "digits": r'("[0-9]+"|[0-9]+)',
+        "decimal": r'("[0-9]+(\.[0-9]+)?"|[0-9]+(\.[0-9]+)?)',
+        "json_strings": rf'("{ws}\[{ws}({text}{ws}(,{ws}{text}{ws})*)?\]{ws}"|[ \t]*\[[ \t]*\][ \t]*)',
+        "json_counts": rf'("{ws}\{{{ws}({pair}{ws}(,{ws}{pair}{ws})*)?\}}{ws}"|[ \t]*\{{[ \t]*\}}[ \t]*)',
+    }
+    return ",".join(kinds[k] for _, k in rejects.REPORT_SCHEMA)
+
+
 def oracle_sql() -> dict[str, str]:
-    return redaction_queries.oracle_sql()
+    lines = redaction_queries.json_valid_sql("raw")
+    bad = f"""
+        SELECT 'trace_lines' AS tbl, line_id AS row_id FROM trace_lines WHERE NOT {lines}
+        UNION ALL SELECT 'report_rows', record_id FROM report_rows WHERE NOT coalesce(regexp_full_match(raw, '{_record_sql()}'), false)"""
+    own = {
+        "p4_found": bad,
+        "p4_lines": f"SELECT line_id, relative_path, line_number, raw FROM trace_lines WHERE {lines}",
+        "p4_file_report": None,
+    }
+    return redaction_queries.oracle_sql() | {k: v for k, v in own.items() if v}
