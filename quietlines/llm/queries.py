@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import importlib
+import warnings
 from collections.abc import Callable
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietlines.llm import credentials, packing, pii, splitting, subjects, tokens
 from quietlines.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _operator(name: str) -> ModuleType | None:
+    """A module of this subpackage, or None with a warning where a library it needs is missing."""
+    try:
+        return importlib.import_module(f"quietlines.llm.{name}")
+    except ImportError as error:
+        if (error.name or "").startswith("quietlines"):
+            raise
+        warnings.warn(f"queries of {name} left out: {error}", stacklevel=2)
+        return None
+
+
+credentials, packing, pii, splitting, subjects, tokens = map(_operator, ("credentials", "packing", "pii", "splitting", "subjects", "tokens"))
+
+
 def _code(spark: SparkSession, d: str) -> DataFrame:
     parts = (("codex_session", "input.cmd"), ("claude_session", "input.command"), ("pi_session", "input"))
     rows = [table(spark, d, t).select(F.lit(t).alias("tbl"), "row_id", F.col(c).alias("code")) for t, c in parts]
@@ -89,8 +105,15 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_redacted, p2_found, p2_pieces, p3_found, p3_redacted, p6_ids, p6_roundtrip, p7_containers, p7_summary, p8_found, p8_composition)
-    return {q.__name__: q for q in own}
+    own = (
+        (credentials, (p1_found, p1_redacted)),
+        (splitting, (p2_found, p2_pieces)),
+        (pii, (p3_found, p3_redacted)),
+        (tokens, (p6_ids, p6_roundtrip)),
+        (packing, (p7_containers, p7_summary)),
+        (subjects, (p8_found, p8_composition)),
+    )
+    return {q.__name__: q for needed, some in own if needed for q in some}
 
 
 def oracle_sql() -> dict[str, str]:
