@@ -118,10 +118,23 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say the same; the others are tested against brute force."""
-    return {
-        "p2_found": """
-            SELECT s.row_id FROM claude_session s
+    joined = """claude_session s
             JOIN (SELECT relative_path, max(config_id) AS config_id FROM trace_files GROUP BY relative_path) f USING (relative_path)
             JOIN redaction_configs c USING (config_id)
-            WHERE length(s.content) > c.chunk_size""",
+            WHERE length(s.content) > c.chunk_size"""
+    # The end of a core: as far as a boundary of the strongest kind that the second half of the window holds.
+    kinds = (r"\n[ \t]{0,8}\r?\n", r"\n", r"[.!?。！？;][\"'')\]]?[\s\x0b]", r"[。！？\s\x0b]")
+    ends = ", ".join(f"CASE WHEN length(regexp_extract(w, '(?s)^.*{k}')) >= least THEN length(regexp_extract(w, '(?s)^.*{k}')) END" for k in kinds)
+    size = f"CASE WHEN length(content) - pos <= core THEN length(content) - pos ELSE coalesce({ends}, core) END"
+    return {
+        "p2_found": f"SELECT s.row_id FROM {joined}",
+        "p2_pieces": f"""
+            WITH RECURSIVE big AS (
+                SELECT row_id, content, chunk_size, lap, chunk_size - lap AS core, greatest((chunk_size - lap) // 2, 1) AS least
+                FROM (SELECT s.row_id, s.content, c.chunk_size, CASE WHEN greatest(coalesce(overlap_chars, 0), 0) < c.chunk_size THEN greatest(coalesce(overlap_chars, 0), 0) ELSE c.chunk_size - greatest(c.chunk_size // 8, 1) END AS lap FROM {joined})),
+            p AS (
+                SELECT row_id, content, chunk_size, lap, core, least, 0 AS piece_no, lap AS pos, lap + {size} AS stop FROM (SELECT *, lap AS pos, substring(content, lap + 1, core) AS w FROM big)
+                UNION ALL
+                SELECT row_id, content, chunk_size, lap, core, least, piece_no + 1, pos, pos + {size} FROM (SELECT * EXCLUDE (pos), stop AS pos, substring(content, stop + 1, core) AS w FROM p WHERE stop < length(content)))
+            SELECT row_id, chunk_size, piece_no, (pos - lap)::BIGINT AS start_pos, stop::BIGINT AS end_pos, substring(content, pos - lap + 1, stop - pos + lap) AS piece FROM p""",
     }
