@@ -40,6 +40,15 @@ def p4_reports(spark: SparkSession, d: str) -> DataFrame:
     return rejects.load_records(table(spark, d, "report_rows"))
 
 
+def p4_report_values(spark: SparkSession, d: str) -> DataFrame:
+    """What the loaded records hold, as plain values."""
+    r = rejects.load_records(table(spark, d, "report_rows"))
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda a, v: a + v).alias(c)
+    listed = lambda c: F.array_join(c, "|").alias(c)
+    plain = [n for n, kind in rejects.REPORT_SCHEMA if not kind.startswith("json")]
+    return r.select("record_id", *plain, listed("errors"), listed("warnings"), total("counts_by_pii_label"), total("counts_by_regex_secret_rule"))
+
+
 def p4_file_report(spark: SparkSession, d: str) -> DataFrame:
     """invalid_json_lines and errors of every file."""
     lines = table(spark, d, "trace_lines").select("line_id", "relative_path", "line_number", "raw")
@@ -60,7 +69,7 @@ def _p5_table(agent: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    own = (p4_found, p4_rejects, p4_lines, p4_reports, p4_file_report, p5_found, p5_changes)
+    own = (p4_found, p4_rejects, p4_lines, p4_reports, p4_report_values, p4_file_report, p5_found, p5_changes)
     drawn = redaction_queries.queries() | {q.__name__: q for q in own}
     return drawn | {f"p5_table_{a.partition('-')[0]}": _p5_table(a) for a in ("codex", "claude-code", "pi-agent")}
 
@@ -84,9 +93,11 @@ def oracle_sql() -> dict[str, str]:
     bad = f"""
         SELECT 'trace_lines' AS tbl, line_id AS row_id FROM trace_lines WHERE NOT {lines}
         UNION ALL SELECT 'report_rows', record_id FROM report_rows WHERE NOT coalesce(regexp_full_match(raw, '{_record_sql()}'), false)"""
-    own = {
-        "p4_found": bad,
-        "p4_lines": f"SELECT line_id, relative_path, line_number, raw FROM trace_lines WHERE {lines}",
-        "p4_file_report": None,
-    }
-    return redaction_queries.oracle_sql() | {k: v for k, v in own.items() if v}
+    cell = {n: f"CASE WHEN starts_with(c[{i}], '\"') THEN replace(c[{i}][2:-2], '\"\"', '\"') ELSE c[{i}] END" for i, (n, _) in enumerate(rejects.REPORT_SCHEMA, 1)}
+    typed = {"path": "{}", "digits": "({})::BIGINT", "decimal": "({})::DOUBLE", "json_strings": "coalesce(array_to_string(json_extract_string({}, '$[*]'), '|'), '')", "json_counts": "coalesce(list_sum(json_extract({}, '$.*')::BIGINT[]), 0)::BIGINT"}
+    columns = ", ".join(f"{typed[kind].format(cell[n])} AS {n}" for n, kind in rejects.REPORT_SCHEMA)
+    field = r',("([^"]|"")*"|[^",\r\n]*)'
+    values = f"""
+        SELECT record_id, {columns} FROM (SELECT record_id, regexp_extract_all(',' || raw, '{field}', 1) AS c FROM report_rows WHERE coalesce(regexp_full_match(raw, '{_record_sql()}'), false))"""
+    own = {"p4_found": bad, "p4_lines": f"SELECT line_id, relative_path, line_number, raw FROM trace_lines WHERE {lines}", "p4_report_values": values}
+    return redaction_queries.oracle_sql() | own

@@ -242,6 +242,8 @@ def trace_candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "trace_files").select("scan_id", tx.is_trace_file(F.col("path")).alias("candidate"), tx.safe_output_path(F.col("path")).alias("output_path"))
 
 
+#: Ids of a run of documents, and cells of a selection table.
+BUCKET, CELLS = 200, ("true", " YES ", "1", "Selected", "no", "0", "", "True\t", "y", "on")
 KEY_ENDINGS = ("", "id", "_id", "Id", "ID", "_ID", "uuid", "_uuid", "Uuid", "UUID", "_ids", "idx", "Idle")
 
 
@@ -283,13 +285,35 @@ def span_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 
 def request_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes of the model requests that each partition's documents make."""
-    def run(batches):
-        for rows in batches:
-            made = [(len(b), sum(map(len, b))) for b in model.request_batches([t for t in rows["text"] if t])]
-            yield pd.DataFrame(made, columns=["n_texts", "n_chars"])
+    """Sizes of the model requests that documents make, by runs of BUCKET ids in order."""
 
-    return table(spark, d, "documents").select("text").mapInPandas(run, "n_texts bigint, n_chars bigint")
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        made = model.request_batches(group.sort_values("doc_id")["text"].tolist(), 50, 20_000)
+        return pd.DataFrame([(int(group["bucket"].iloc[0]), i, len(b), sum(map(len, b))) for i, b in enumerate(made)], columns=["bucket", "batch_no", "n_texts", "n_chars"])
+
+    some = table(spark, d, "documents").where("text <> ''").select(F.floor(F.col("doc_id") / BUCKET).alias("bucket"), "doc_id", "text")
+    return some.groupBy("bucket").applyInPandas(run, "bucket bigint, batch_no int, n_texts bigint, n_chars bigint")
+
+
+def positive_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as a remote side might send them, as text and less two, reduced to the positive ones."""
+    sent = F.transform_values("counts_by_regex_secret_rule", lambda _, v: (v - 2).cast("string"))
+    return table(spark, d, "file_reports").select("report_id", total_counts(tx.positive_counts(sent)).alias("n"), F.size(F.map_keys(tx.positive_counts(sent))).alias("kinds"))
+
+
+def selection_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Which cells of a selection table count as chosen."""
+    cells = F.array(*(F.lit(c) for c in CELLS))
+    return table(spark, d, "trace_files").select("scan_id", F.get(cells, (F.col("scan_id") % len(CELLS)).cast("int")).alias("cell")).withColumn("chosen", tx.truthy(F.col("cell")))
+
+
+def file_rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Found secrets per file and rule inside the strings of JSON lines; identifiers keep theirs."""
+    some = table(spark, d, "codex_session").where("relative_path IS NOT NULL").withColumn("h", F.sha2(F.col("row_id").cast("string"), 256))
+    put = F.expr("CASE " + " ".join(f"WHEN row_id % {len(INJECTED)} = {i} THEN {made}" for i, (_, made) in enumerate(INJECTED)) + " END")
+    line = F.struct(put.alias("call_id"), F.concat(put, F.lit(" "), F.coalesce("content", F.lit(""))).alias("content"), "input", F.array(F.lit("x"), put).alias("more"))
+    lines = json_lines.sanitize_json(some.select("relative_path", F.to_json(line).alias("raw")), RedactionConfig())
+    return lines.select("relative_path", F.explode("line.regex_counts").alias("rule", "n")).groupBy("relative_path", "rule").agg(F.sum("n").alias("n"))
 
 
 def progress_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +368,7 @@ def queries() -> dict[str, Query]:
     own = (
         rule_counts_total, counts_by_table_field, double_pass_counts, placeholder_guard, secret_gate_filter, json_leaf_counts, json_redact_lines, raw_redact_lines, per_file_report, file_lines, aggregate_report,
         preview_rows, distinct_strings, dup_ratio, cache_join, model_each_text, selected_semi_join, likely_selection, selection_totals, agent_guess, size_columns, trace_candidates, protected_keys, normalize_label, structural_token,
-        stable_hash, chunk_text, span_dedupe, request_batches, progress_columns, best_config, merged_text_results, injected_secrets, progress_events, running_totals, table_rows,
+        stable_hash, chunk_text, span_dedupe, request_batches, progress_columns, best_config, merged_text_results, injected_secrets, progress_events, running_totals, table_rows, positive_counts, selection_marks, file_rule_counts,
     )
     found = {f"rule_{n}": _rule(n) for n in RULE_NAMES} | {f"redact_{m}": _mode(m) for m in MODES}
     return found | {"redact_native_mask": _mode("mask", True), "redact_native_hash": _mode("hash", True)} | {q.__name__: q for q in own}
@@ -430,6 +454,13 @@ def parses_sql(raw: str) -> str:
     return json_valid_sql(raw, _JSON_LITERAL.replace("|true", "|-?Infinity|NaN|true").replace("-?(0", "-?(0"))
 
 
+def _rule_counts_by(source: str, key: str) -> str:
+    """SQL: found values per `key` and rule."""
+    both = RULES * 2
+    found = " UNION ALL ".join(f"SELECT {key}, {_q(rule.name)} AS rule, sum(n) AS n FROM s{i + 1} GROUP BY {key} UNION ALL SELECT {key}, {_q(rule.name)}, -sum(n) FROM s{i} GROUP BY {key}" for i, rule in enumerate(both))
+    return f"{_steps(source, 'mask')} SELECT {key}, rule, sum(n)::BIGINT AS n FROM ({found}) GROUP BY {key}, rule HAVING sum(n) > 0"
+
+
 def _rule_totals(source: str, mode: str = "mask", passes: int = 2) -> str:
     """SQL: found values per rule, from what every step adds to the count."""
     steps = _steps(source, mode, passes)
@@ -470,6 +501,19 @@ def oracle_sql() -> dict[str, str]:
         nodes AS (SELECT line_id, j.key, j.type, j.value, row_number() OVER (PARTITION BY line_id, j.parent, j.key ORDER BY j.id DESC) AS r FROM l, json_tree(l.raw) j),
         leaves AS (SELECT line_id, json_extract_string(value, '$') AS leaf FROM nodes WHERE r = 1 AND type = 'VARCHAR' AND NOT coalesce({protected}, false))
         SELECT l.line_id, count(leaf) AS n_leaves, coalesce(sum(length(leaf)), 0)::BIGINT AS chars FROM l LEFT JOIN leaves USING (line_id) GROUP BY l.line_id"""
+    made = "CASE " + " ".join(f"WHEN row_id % {len(INJECTED)} = {i} THEN {sql}" for i, (_, sql) in enumerate(INJECTED)) + " END"
+    strings = f"""SELECT relative_path, unnest([put || ' ' || coalesce(content, ''), input.cmd, input.cwd, put]) AS t FROM (
+        SELECT *, {made} AS put FROM (SELECT *, sha256(row_id::VARCHAR) AS h FROM codex_session WHERE relative_path IS NOT NULL))""".replace("\\n", "' || chr(10) || '")
+    out["file_rule_counts"] = _rule_counts_by(strings, "relative_path")
+    out["positive_counts"] = "SELECT report_id, coalesce(list_sum(list_filter(list_transform(map_values(counts_by_regex_secret_rule), lambda v: v - 2), lambda v: v > 0)), 0)::BIGINT AS n, coalesce(len(list_filter(map_values(counts_by_regex_secret_rule), lambda v: v > 2)), 0)::INT AS kinds FROM file_reports"
+    out["selection_marks"] = f"SELECT scan_id, cell, lower(trim(cell)) IN ('true', '1', 'yes', 'selected') AS chosen FROM (SELECT scan_id, [{', '.join(_q(c) for c in CELLS)}][scan_id % {len(CELLS)} + 1] AS cell FROM trace_files)"
+    out["request_batches"] = f"""
+        WITH RECURSIVE o AS (SELECT floor(doc_id / {BUCKET})::BIGINT AS bucket, length(text) AS c, row_number() OVER (PARTITION BY floor(doc_id / {BUCKET}) ORDER BY doc_id) AS i FROM documents WHERE text <> ''),
+        f AS (SELECT bucket, i, 0 AS batch_no, 1 AS n, c AS size FROM o WHERE i = 1
+            UNION ALL
+            SELECT o.bucket, o.i, CASE WHEN f.n >= 50 OR f.size + o.c > 20000 THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN f.n >= 50 OR f.size + o.c > 20000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 50 OR f.size + o.c > 20000 THEN o.c ELSE f.size + o.c END
+            FROM f JOIN o ON o.bucket = f.bucket AND o.i = f.i + 1)
+        SELECT bucket, batch_no, max(n)::BIGINT AS n_texts, max(size)::BIGINT AS n_chars FROM f GROUP BY bucket, batch_no"""
     stretches = f"SELECT doc_id, i AS start, substring(text, i, {STRETCH}) AS t FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1, {STRETCH})) AS i FROM documents WHERE text <> '')"
     out["merged_text_results"] = f"{_steps(stretches, 'mask')} SELECT doc_id, sha256(string_agg(t, '' ORDER BY start)) AS digest, sum(n)::BIGINT AS n FROM done GROUP BY doc_id"
     out["progress_events"] = f"""{_steps('SELECT relative_path, line_number, raw AS t FROM trace_lines', 'mask')},
