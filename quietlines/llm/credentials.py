@@ -92,6 +92,8 @@ AFTER_AUTHORISATION = re.compile(r"(?i)\\*[\"']?\s*[:=]\s*\\*[\"']?\s*(?:(?:bear
 AFTER_ECHO = re.compile(r"\s+(?:-n\s+)?(?P<quote>['\"]?)(?P<value>[^\s|'\"]+)(?P=quote)\s*\|\s*[^|;\n]*?(?:--(?:password|token|secret)-stdin|--with-token|\bsudo\s+-S)")
 AFTER_PASSWORD_COMMAND = re.compile(r"[ =](?P<quote>['\"])(?:echo|printf)\s+(?P<value>[^\s'\"]+)(?P=quote)")
 AFTER_SECURE_STRING = re.compile(r"\s+(?:-String\s+)?(?P<quote>['\"])(?P<value>[^'\"\n]+)(?P=quote)")
+AFTER_IDENTIFIED_BY = re.compile(r"\s+(?:password\s+)?(?P<quote>\\*['\"])(?P<value>[^'\"\\\n]+)(?P=quote)", re.I)
+IDENTIFIED = re.compile(r"(?i)\bidentified\s+(?:with\s+[\w'\"]+\s+)?$")
 # The user part after the `://` of a URL, and the letters before it.
 URL_USER = re.compile(r"[^\s/@:'\"<>]*:(?P<value>[^\s/@'\"<>]+)@")
 URL_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
@@ -110,7 +112,7 @@ SHORT_OPTIONS = (
 )
 
 #: A condition that every text with a finding fulfils; it keeps most rows inside the JVM.
-GATE = r"(?i)pass|pwd|passwor|contrase|kennwort|senha|secret|token|key|cred|auth|bearer|basic|private|://|curl|wget|mysql|mariadb|docker|sudo|redis-cli|http|sshpass|sk[-_]|gh[pousr]_|glpat|xox|hf_|npm_|[rp]k_|AIza|A[KS]IA|eyJ|pypi-|dop_v1|SG\.|密|口令|令牌|パスワード|пароль|pgpass|SecureString"
+GATE = r"(?i)pass|identified|pwd|passwor|contrase|kennwort|senha|secret|token|key|cred|auth|bearer|basic|private|://|curl|wget|mysql|mariadb|docker|sudo|redis-cli|http|sshpass|sk[-_]|gh[pousr]_|glpat|xox|hf_|npm_|[rp]k_|AIza|A[KS]IA|eyJ|pypi-|dop_v1|SG\.|密|口令|令牌|パスワード|пароль|pgpass|SecureString"
 
 
 @lru_cache(1 << 14)
@@ -126,9 +128,16 @@ def names_credential(name: str) -> bool:
     return words[-3:] == ["access", "key", "id"] or "".join(words[-2:]) in ("accesskeyid",)
 
 
+def is_path(value: str) -> bool:
+    """A path of words; not a key whose alphabet has the slash, which shows in a long part of mixed letters and digits."""
+    if not LOWER_PATH.fullmatch(value):
+        return False
+    return not any(len(p) >= 10 and re.search(r"\d[A-Za-z]", p) and re.search(r"[a-z]", p) and re.search(r"[A-Z]", p) for p in value.split("/"))
+
+
 def looks_random(value: str) -> bool:
     """Letters and digits mixed as people's words and paths seldom mix them."""
-    return len(value) >= 8 and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value)) and not LOWER_PATH.fullmatch(value)
+    return len(value) >= 8 and bool(re.search(r"\d", value)) and bool(re.search(r"[A-Za-z]", value)) and not is_path(value)
 
 
 def is_wordy(value: str) -> bool:
@@ -140,7 +149,7 @@ def is_literal(value: str, quoted: bool, follows: str, name: str) -> bool:
     """Whether the text given to a credential-named identifier is a secret written out."""
     if len(value) < 4 or NOT_A_SECRET.fullmatch(value) or REFERENCE.match(value):
         return False
-    if re.fullmatch(r"[\d.,:]+", value) or LOWER_PATH.fullmatch(value) or "://" in value:
+    if re.fullmatch(r"[\d.,:]+", value) or is_path(value) or "://" in value:
         return False
     if value.startswith(("-----BEGIN", "sha256:", "sha512-", "ssh-")) or re.search(r"[.\]})][*+?]|\\[dws]|\[[^\[\]-]*-[^\[\]]*\]", value):
         return False
@@ -270,6 +279,8 @@ class Scan:
             self.marked(m, 2)
         elif low in ("echo", "printf") and (m := AFTER_ECHO.match(text, end)):
             self.marked(m, 2)
+        elif low == "by" and IDENTIFIED.search(text[max(0, start - 64) : start]) and (m := AFTER_IDENTIFIED_BY.match(text, end)):
+            self.marked(m, 2)
         elif low in ("--password-command", "--passphrase-command") and (m := AFTER_PASSWORD_COMMAND.match(text, end)):
             self.marked(m, 2)
         elif word == "ConvertTo-SecureString" and (m := AFTER_SECURE_STRING.match(text, end)):
