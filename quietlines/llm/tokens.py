@@ -103,10 +103,13 @@ class Vocabulary:
         return self._pairs[key]
 
     def encode(self, text: str | None) -> list[int]:
-        stream, ids = Transducer(self), []
-        for at in range(0, len(text or ""), BLOCK):
+        if not text:
+            return []
+        stream, ids, at = Transducer(self), [], 0
+        while len(text) - at > BLOCK:
             ids += stream.feed(text[at : at + BLOCK])
-        return ids + stream.finish()
+            at += BLOCK
+        return ids + stream.finish(text[at:])
 
 
 class Machine:
@@ -114,18 +117,17 @@ class Machine:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.data = bytearray()  # from the last emitted boundary on
+        self.data = b""  # from the last emitted boundary on
         self.last: list[tuple[int, int]] = [(-1, -1)]  # per prefix: (token that ends there, where it starts)
         self.before = -1  # the token emitted last
 
     def feed(self, part: bytes) -> list[int]:
-        ranks, longest, compatible = self.vocabulary.ranks, self.vocabulary.longest, self.vocabulary.compatible
-        data, last = self.data, self.last
-        for byte in part:
-            data.append(byte)
-            end = len(data)
-            for start in range(max(0, end - longest.get(bytes(data[-2:]), 1)), end):
-                token = ranks.get(bytes(data[start:end]))
+        get, longest, compatible = self.vocabulary.ranks.get, self.vocabulary.longest, self.vocabulary.compatible
+        last, seen = self.last, len(self.data)
+        data = self.data = self.data + part
+        for end in range(seen + 1, len(data) + 1):
+            for start in range(max(0, end - longest.get(data[max(0, end - 2) : end], 1)), end):
+                token = get(data[start:end])
                 if token is None or start and last[start][0] < 0:
                     continue
                 left = last[start][0] if start else self.before
@@ -140,7 +142,7 @@ class Machine:
         """The tokens on which all prefixes agree that a later token may start from."""
         end, begun = len(self.data), self.vocabulary.begun
         low = max(0, end - self.vocabulary.lookahead + 1)
-        open_ends = {p for p in range(low, end) if (p == 0 or self.last[p][0] >= 0) and bytes(self.data[p:end]) in begun}
+        open_ends = {p for p in range(low, end) if (p == 0 or self.last[p][0] >= 0) and self.data[p:end] in begun}
         if self.last[end][0] >= 0 or end == 0:
             open_ends.add(end)
         while len(open_ends) > 1:
@@ -151,7 +153,7 @@ class Machine:
         ids = self._chain(stable)
         if stable:
             self.before = ids[-1]
-            del self.data[:stable]
+            self.data = self.data[stable:]
             self.last = [(-1, -1)] + [(t, s - stable) if s >= stable else (-1, -1) for t, s in self.last[stable + 1 :]]
         return ids
 
@@ -197,7 +199,7 @@ class Transducer:
 
     def _last_cut(self) -> int:
         """The last stable cut; both of its sides have been seen."""
-        for width in (256, 4096, len(self.pending)):
+        for width in (16, 256, 4096, len(self.pending)):
             found = [m.start() for m in _CUT.finditer(self.pending, max(0, len(self.pending) - width)) if 0 < m.start() < len(self.pending)]
             if found:
                 return found[-1]
@@ -220,7 +222,9 @@ class Transducer:
                 ids += self.feed("")
         return ids
 
-    def finish(self) -> list[int]:
+    def finish(self, block: str = "") -> list[int]:
+        """The ids of what is left, given the last block if it was not fed; nothing follows, so all of it is stable."""
+        self.pending += block
         ids = self._continue_run(final=True) if self.run else []
         ids += self._pieces(self.pending)
         self.pending = ""

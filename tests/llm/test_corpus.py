@@ -33,6 +33,9 @@ def test_streaming_equals_encoding_at_once(vocabulary, at_once, monkeypatch):
         stream, size = tokens.Transducer(vocabulary), rng.randint(1, 9)
         ids = [i for at in range(0, len(text), size) for i in stream.feed(text[at : at + size])] + stream.finish()
         assert ids == at_once(text), repr(text)
+        stream, last = tokens.Transducer(vocabulary), len(text) // size * size
+        ids = [i for at in range(0, last, size) for i in stream.feed(text[at : at + size])] + stream.finish(text[last:])
+        assert ids == at_once(text), repr(text)
 
 
 @pytest.mark.parametrize("text", ["a" * 60_000, "漢字仮名" * 9_000, " " * 40_000 + "x", "=" * 40_000, "x " * 50_000, "\n" * 30_000, "1234567890" * 4_000])
