@@ -94,7 +94,8 @@ NAME_FORMS = (
     ("han", re.compile(rf"(?<!{_HAN})(?=({_HAN}{{2,7}})(?!{_HAN}))")),
 )
 # Lower-case names are looked up from the ending of the family name back.
-_LOW_END = re.compile(rf"(?<=[a-zß-öø-ÿāćčłőšžǻ]{{2}})(?:{'|'.join(ENDINGS)})(?!\w)")
+_LOW_WORD = re.compile(r"[a-zß-öø-ÿāćčłőšžǻ]{4,}(?!\w)")
+_LOW_ENDINGS = tuple(ENDINGS)
 _LOW_BACK = re.compile(rf"{_EDGE}(?P<name>(?P<first>{_LOW})(?: [a-z]\.)?(?: {PARTICLE})? {_FAMILY_LOW})$")
 # What stands before a name: labels, headers, titles, greetings, delimiters.
 NAME_LEFT = re.compile(
@@ -242,10 +243,12 @@ LABELERS = {"email": 6, "phone": 7, "national_id": 5, "address": 6, "name": 8}
 # Stretches of digits and separators long enough for a number of a person; dates are left out.
 _DIGITS = re.compile(r"(?<![\d])(?!\d{4}-\d\d-\d\d)\d(?:[ ()./\-‐‑\xa0]{0,3}\d){5,}")
 _NUMBERED = ("phone", "national_id")
-_TOWN_CODE = re.compile(r"\d{5} [^\W\d_a-z]|[A-Z]\d[A-Z\d]? ?\d[A-Z]{2}\b")
-_STREET_WORDS = tuple(
-    f" {w}" for word in "street st road rd avenue ave lane ln drive dr court ct terrace close mews boulevard blvd way place pl square sq crescent row gardens grove hill parade walk".split() for w in (word, word.capitalize())
-) + ("rue ", "Calle ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "Ronda ", "C/", "Av.")
+_TOWN_CODE = re.compile(r"\d{5} [^\W\d_a-z]")
+# What each form of address cannot do without: street words in the case it reads them, or a post code before a town.
+_STREET_LOW = tuple(f" {w}" for w in "street st road rd avenue ave lane drive court terrace close mews blvd way place".split())
+_STREET_CAP = tuple(f" {w}" for w in "Street St Road Rd Avenue Ave Lane Ln Drive Dr Court Ct Terrace Ter Close Mews Boulevard Blvd Way Place Pl Square Sq Crescent Row Gardens Grove Hill Parade Walk".split())
+_STREET_FRENCH = tuple(" rue, avenue, boulevard, place, impasse, chemin, allée, quai, route, cours".split(","))
+_STREET_SPANISH = ("Calle ", "C/", "Avenida ", "Av.", "Plaza ", "Paseo ", "Camino ", "Ronda ")
 _CAPITALS = re.compile(rf"[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ][\w.'’‑-]*,? (?:{PARTICLE} )?(?:[A-Za-z]{{2,3}}-)?[A-ZÀ-ÖØ-ÞĀŐŠŽČŁ]")
 
 
@@ -259,9 +262,10 @@ def _matches(kind: str, text: str) -> Iterator[tuple[str, int, int]]:
                     yield form, *m.span()
         return
     if kind == "address":
-        if not (_TOWN_CODE.search(text) or any(w in text for w in _STREET_WORDS)):
-            return
-        open_forms = FORMS[kind]
+        code = bool(_TOWN_CODE.search(text))
+        cap = any(map(text.__contains__, _STREET_CAP))
+        held = {"us": cap, "uk": cap, "short": cap, "lower": any(map(text.__contains__, _STREET_LOW)), "german": code, "french": code and any(map(text.__contains__, _STREET_FRENCH)), "spanish": code and any(map(text.__contains__, _STREET_SPANISH))}
+        open_forms = [f for f in FORMS[kind] if held[f[0]]]
     elif kind == "email":
         held = {"plain": "@" in text, "escaped": "%40" in text, "spelled": " dot " in text or " DOT " in text, "bracketed": any(b in text for b in ("at]", "at)", "at}", "at>", "AT", "at ]", "at )", "@]", "@)", "@ "))}
         open_forms = [f for f in FORMS[kind] if held[f[0]]]
@@ -270,9 +274,11 @@ def _matches(kind: str, text: str) -> Iterator[tuple[str, int, int]]:
         han = not text.isascii()
         held = {"mixed": capitals, "three": capitals, "upper": capitals, "reversed": capitals and ", " in text, "han": han}
         open_forms = [f for f in FORMS[kind] if held[f[0]]]
-        for ending in _LOW_END.finditer(text):
-            low = max(0, ending.end() - 80)
-            if (name := _LOW_BACK.search(text, low, ending.end())) and name["first"] not in NOT_NAME and name["name"].rpartition(" ")[2] not in NOT_NAME:
+        for word in _LOW_WORD.finditer(text):
+            if not word.group().endswith(_LOW_ENDINGS):
+                continue
+            low = max(0, word.end() - 80)
+            if (name := _LOW_BACK.search(text, low, word.end())) and name["first"] not in NOT_NAME and name["name"].rpartition(" ")[2] not in NOT_NAME:
                 yield "lower", *name.span("name")
     group = 1 if kind == "name" else 0
     for form, pattern in open_forms:
