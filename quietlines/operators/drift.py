@@ -60,6 +60,10 @@ REMEMBERED = 64
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _SHORT = re.compile(r"[a-z]?[0-9a-f]{6,40}|[a-z]{1,4}_[0-9a-zA-Z]{6,}")
 _TIME = re.compile(r"\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d.*)?")
+_DIGITS = re.compile(r"-?\d{1,15}(?:\.\d+)?")
+_VERSION = re.compile(r"\d+(?:\.\d+){1,3}")
+_PATH = re.compile(r"(?:~|\.)?/[^\s]*")
+_DIGIT = re.compile(r"\d")
 _WORDY = re.compile(r"[A-Za-z][A-Za-z_-]{0,23}")
 _COMMAND = re.compile(r"(?:\./|[a-z][\w.-]*=?)(?:\s|$)[^A-ZÀ-Þ]?|[a-z][\w-]*\s+-{1,2}\w")
 
@@ -102,18 +106,22 @@ def value_shape(value: object) -> tuple[str, str | None]:
     text = str(value)
     if not text:
         return ("empty", None)
-    if re.fullmatch(r"-?\d{1,15}(?:\.\d+)?", text):
-        return value_shape(float(text) if "." in text else int(text))
-    for pattern, name in ((_UUID, "uuid"), (_TIME, "time")):
-        if pattern.fullmatch(text):
-            return (name, None)
-    if re.fullmatch(r"\d+(?:\.\d+){1,3}", text):
-        return ("version", None)
-    if re.fullmatch(r"(?:~|\.)?/[^\s]*", text):
+    # Each pattern is tried only on text of a length and a beginning it can match.
+    size, first = len(text), text[0]
+    if first in "-0123456789":
+        if size <= 400 and _DIGITS.fullmatch(text):
+            return value_shape(float(text) if "." in text else int(text))
+        if size >= 10 and _TIME.fullmatch(text):
+            return ("time", None)
+        if _VERSION.fullmatch(text):
+            return ("version", None)
+    if size == 36 and _UUID.fullmatch(text):
+        return ("uuid", None)
+    if first in "/~." and _PATH.fullmatch(text):
         return ("path", None)
-    if _SHORT.fullmatch(text) and re.search(r"\d", text):
+    if size <= 46 and _SHORT.fullmatch(text) and _DIGIT.search(text):
         return ("short_id", None)
-    if _WORDY.fullmatch(text):
+    if size <= 24 and _WORDY.fullmatch(text):
         return ("text", text)
     return ("command" if _COMMAND.match(text) else "prose", None)
 
@@ -179,13 +187,11 @@ def _scalar_profile(value: object) -> tuple[int, int, int, int]:
 
 def profile(value: object) -> tuple[int, int, int, int]:
     """(type, place in the value histogram, context bucket or -1, hash) of a value that is not null."""
-    if isinstance(value, (dict, list)):
-        shape, word = value_shape(value)
-        own = len(SHAPES) + _bucket(word, WORDS) if word else SHAPES.index(shape)
-        return TYPES.index(json_type(value)), own, _bucket(word, CONTEXT) if word else -1, 0
-    if isinstance(value, str) and len(value) > REMEMBERED:
-        return _scalar_profile.__wrapped__(value)
-    return _scalar_profile(value)
+    kind = type(value)
+    if kind is str and len(value) <= REMEMBERED or kind is int or kind is float or kind is bool:
+        return _scalar_profile(value)
+    found = _scalar_profile.__wrapped__(value)
+    return found if kind is str else (*found[:3], 0)
 
 
 def field_slots(expected: dict[str, dict[str, str]]) -> dict[str, int]:
@@ -193,6 +199,9 @@ def field_slots(expected: dict[str, dict[str, str]]) -> dict[str, int]:
     return {f: i for i, f in enumerate(sorted({f for fields in expected.values() for f in fields}))}
 
 
+_AT = 2 + len(TYPES)
+
+
 class Fold:
     """Statistics of the fields of files, folded line by line.
 
@@ -220,9 +229,9 @@ class Fold:
         named = line.get("agent")
         if isinstance(named, str) and named in self.agents:
             counts[2 + len(TYPES) + WIDTH + self.agents[named]] += 1
-        names, words = [], []
+        names, words, rows = [], [], self.rows
         for field, value in flat_fields(line).items():
-            held = self._row(file, field)
+            held = rows.get((file, field)) or self._row(file, field)
             counts = held[0]
             counts[0] += 1
             if value is None:
@@ -230,7 +239,7 @@ class Fold:
             kind, own, context, mark = profile(value)
             counts[1] += 1
             counts[2 + kind] += 1
-            counts[2 + len(TYPES) + own] += 1
+            counts[_AT + own] += 1
             if held[1] is None:
                 held[1] = held[2] = mark
             elif mark < held[1]:
