@@ -17,7 +17,8 @@ correspondence; all others are additions without being gathered.
 
 Defined results: lines that are no valid JSON object count for nothing; a file whose
 lines name no known agent is compared with none and has no rows; repeated lines change
-nothing; an empty table gives no rows.
+nothing; an empty table gives no rows. A baseline field without a type is never retyped
+and is text in the table; of a field listed twice the last type in order counts.
 """
 
 from __future__ import annotations
@@ -451,16 +452,16 @@ def changes(fields: dict[str, dict], expected: dict[str, str], renamed: dict[str
         found += [(b, "renamed", x) for x in renamed.get(b, ())]
         if b not in renamed and b not in fields:
             found.append((b, "removed", None))
-        if any(fields[name]["types"] - {kind} for name in (b, *renamed.get(b, ())) if name in fields):
+        if kind is not None and any(fields[name]["types"] - {kind} for name in (b, *renamed.get(b, ())) if name in fields):
             found.append((b, "retyped", None))
     found += [(x, "added", None) for x in fields if x not in expected and x not in moved and INSIDE not in x]
     return found
 
 
 def read_baseline(baseline: DataFrame) -> dict[str, dict[str, str]]:
-    """agent -> field -> type; the baseline is a fixed table."""
+    """agent -> field -> type; the baseline is a fixed table. Rows without agent or field say nothing."""
     expected: dict[str, dict[str, str]] = {}
-    for r in baseline.orderBy("agent", "field_name").collect():
+    for r in baseline.where("agent IS NOT NULL AND field_name IS NOT NULL").orderBy("agent", "field_name", "json_type").collect():
         expected.setdefault(r["agent"], {})[r["field_name"]] = r["json_type"]
     return expected
 
@@ -582,7 +583,7 @@ def consistent_table(lines: DataFrame, baseline: DataFrame, agent: str) -> DataF
     renames = moved.groupBy("relative_path").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("other_name", "field_name")))).alias("renames"))
     files = stats.where(F.col("file_agent") == agent).select("relative_path").distinct().join(renames, "relative_path", "left")
     casts = {"string": "string", "number": "double", "boolean": "boolean", "array": "string", "object": "string"}
-    kinds = {c: casts[expected[agent][c]] for c in columns}
+    kinds = {c: casts.get(expected[agent][c], "string") for c in columns}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -88,3 +88,13 @@ def test_data_made_keys_are_additions_that_are_not_gathered(spark):
     assert drift.scored_extras(stats, drift.read_baseline(base)).where("size(start) > 0").count() == 0
     got = {(r["field_name"], r["change_kind"]) for r in drift.schema_changes(lines, base).collect()}
     assert got == {(f"key {i}", "added") for i in range(300)} | {("input", "added")}
+
+
+def test_nulls_and_repeats_in_the_baseline(spark):
+    rows = [("codex", "agent", "string"), ("codex", "agent", "string"), ("codex", "x", None), (None, "y", "string"), ("codex", None, "string")]
+    base = spark.createDataFrame(rows, "agent string, field_name string, json_type string")
+    lines = spark.createDataFrame([(1, "f", '{"agent":"codex","x":[1]}', 0), (1, "f", '{"agent":"codex","x":[1]}', 0), (2, "g", '{"agent":"codex"}', 0), (3, None, None, 0)], "line_id long, relative_path string, raw string, field int")
+    got = {(r["relative_path"], r["field_name"], r["change_kind"]) for r in drift.schema_changes(lines, base).collect()}
+    assert got == {("g", "x", "removed")}
+    table = drift.consistent_table(lines, base, "codex").collect()
+    assert [(r["line_id"], r["x"]) for r in sorted(table, key=lambda r: r["line_id"])] == [(1, "[1]"), (1, "[1]"), (2, None)]
