@@ -11,8 +11,9 @@ State per task is the number of windows; nothing is gathered per key, so no sour
 group of copies can fill one task.
 
 Defined results: null and empty texts have no tokens and go with size 0 into an open
-window; every repeated row is placed on its own; null or non-positive capacities get
-no containers; an empty table gives no rows.
+window; every repeated row is placed on its own; limits without id and null or
+non-positive capacities get no containers, of a limit listed twice the larger capacity
+counts; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,7 +128,8 @@ def pack(documents: DataFrame, limits: DataFrame, path: str = VOCABULARY) -> Dat
 
     `limits` is a small fixed table; its rows come to the driver.
     """
-    capacities = sorted((r["limit_id"], r["capacity_tokens"]) for r in limits.collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0)
+    some = limits.where("limit_id IS NOT NULL AND capacity_tokens > 0").groupBy("limit_id").agg(F.max("capacity_tokens").alias("capacity_tokens"))
+    capacities = sorted((r["limit_id"], r["capacity_tokens"]) for r in some.collect())
     placed = durable(_pack(documents, capacities, path))
     columns = ["limit_id", "capacity_tokens", "container_id", "doc_id", "piece_no", "start_token", "n_tokens"]
     left = placed.where("open_fill IS NOT NULL AND piece_no IS NULL").select("limit_id", "capacity_tokens", "container_id", "open_fill")

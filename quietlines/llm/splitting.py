@@ -83,10 +83,11 @@ def split_pieces(text: Column, chunk: Column, overlap: Column) -> Column:
 def with_limits(sessions: DataFrame, files: DataFrame, configs: DataFrame) -> DataFrame:
     """Add chunk_size and overlap_chars of the configuration of each row's file.
 
-    A file scanned twice counts once; rows without a known file drop out. The file
+    A file scanned twice counts once, a configuration listed twice by its larger chunk
+    size; rows without a known file drop out. The file
     table is reduced to one row per path first; a hot path is salted over tasks.
     """
-    limits = configs.select("config_id", "chunk_size", "overlap_chars")
+    limits = configs.groupBy("config_id").agg(F.max(F.struct("chunk_size", "overlap_chars")).alias("c")).select("config_id", "c.*")
     per_file = files.where("relative_path IS NOT NULL AND config_id IS NOT NULL").groupBy("relative_path").agg(F.max("config_id").alias("config_id"))
     lookup = per_file.join(limits, "config_id").drop("config_id")
     return salted_lookup(sessions, lookup, "relative_path", "row_id")

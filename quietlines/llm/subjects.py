@@ -286,7 +286,7 @@ def subject_shares(documents: DataFrame, rules: Rules, line: tuple[float, float]
 
 def learn(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[Rules, tuple[float, float]]:
     """Rules and their calibration from the labelled sample."""
-    subjects = {r["subject"]: (r["covers"] or "").lower() for r in areas.collect()}  # a fixed table of ten rows
+    subjects = {r["subject"]: (r["covers"] or "").lower() for r in areas.where("subject IS NOT NULL").collect()}  # a fixed table of ten rows
     sample = labelled(documents, labels, subjects).persist()
     try:
         rules = mine_rules(sample, max(len(subjects), 1))
