@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ PROTECTED_FOLDED, PROTECTED_CASED = r"(?:^|_)(?:id|uuid)$", r"[a-z0-9](?:Id|Uuid
 _PROTECTED = (re.compile(PROTECTED_FOLDED, re.IGNORECASE), re.compile(PROTECTED_CASED))
 
 
+@lru_cache(1 << 12)
 def is_protected_key(key: object) -> bool:
     return isinstance(key, str) and any(p.search(key) for p in _PROTECTED)
 

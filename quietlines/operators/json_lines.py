@@ -34,23 +34,37 @@ LINE = "struct<output:string, invalid_json:boolean, regex_counts:map<string,bigi
 #: Levels of nesting up to which a line is parsed as a whole.
 DEEP = 200
 
-Visit = Callable[[str, "str | None", "Callable[[], str]"], str]
+# visit(text, key, way): `way` leads back to the root, as (way of the parent, key or position), or as a function that gives the path.
+Visit = Callable[[str, "str | None", object], str]
 
 _SURROGATE = re.compile("[\ud800-\udfff]")
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\s\[\]{},:"]+', re.S)
 
 
-def walk(value: object, visit: Visit, strict: bool = False, key: str | None = None, path: tuple = ()) -> object:
-    """`value` rebuilt with `visit(text, key, path)` in place of every string leaf; `path` is given as a function.
+def path_of(way: object) -> str:
+    """`$.a[0]` for the way to a leaf."""
+    if callable(way):
+        return way()
+    steps = []
+    while way:
+        way, step = way
+        steps.append(f"[{step}]" if isinstance(step, int) else f".{step}")
+    return "$" + "".join(reversed(steps))
+
+
+def walk(value: object, visit: Visit, strict: bool = False, key: str | None = None, way: tuple = ()) -> object:
+    """`value` rebuilt with `visit` in place of every string leaf.
 
     With `strict`, identifier values are visited like any other.
     """
     if isinstance(value, str):
-        return visit(value, key, lambda: "$" + "".join(path))
+        return visit(value, key, way)
     if isinstance(value, list):
-        return [walk(v, visit, strict, key, (*path, f"[{i}]")) if isinstance(v, (str, list, dict)) else v for i, v in enumerate(value)]
+        return [visit(v, key, (way, i)) if isinstance(v, str) else walk(v, visit, strict, key, (way, i)) if isinstance(v, (list, dict)) else v for i, v in enumerate(value)]
     if isinstance(value, dict):
-        return {k: v if isinstance(v, str) and not strict and is_protected_key(k) else walk(v, visit, strict, k, (*path, f".{k}")) if isinstance(v, (str, list, dict)) else v for k, v in value.items()}
+        return {
+            k: (v if not strict and is_protected_key(k) else visit(v, k, (way, k))) if isinstance(v, str) else walk(v, visit, strict, k, (way, k)) if isinstance(v, (list, dict)) else v for k, v in value.items()
+        }
     return value
 
 
@@ -130,7 +144,7 @@ def transform(raw: str, visit: Visit, strict: bool = False) -> tuple[str, bool]:
             return _dump(walk(value, visit, strict)), False
     except json.JSONDecodeError:
         pass
-    return visit(raw, None, lambda: "$"), True
+    return visit(raw, None, ()), True
 
 
 def is_invalid(raw: str | None) -> bool:
@@ -163,8 +177,8 @@ def leaves_of(raw: str | None) -> tuple[list[tuple[int, str, str | None, str]],
         return [], True
     found: list[tuple[int, str, str | None, str]] = []
 
-    def visit(text: str, key: str | None, path: Callable[[], str]) -> str:
-        found.append((len(found), sendable(path()), sendable(key), sendable(text)))
+    def visit(text: str, key: str | None, way: object) -> str:
+        found.append((len(found), sendable(path_of(way)), sendable(key), sendable(text)))
         return text
 
     invalid = transform(raw, visit)[1]
@@ -193,7 +207,7 @@ def sanitize_line(raw: str | None, config: RedactionConfig, strict: bool = False
         return text, False, counts
     total: Counter = Counter()
 
-    def visit(text: str, key: str | None, path: Callable[[], str]) -> str:
+    def visit(text: str, key: str | None, way: object) -> str:
         out, counts = redact_text(text, config)
         if counts:
             total.update(counts)
@@ -236,7 +250,7 @@ def rebuild(df: DataFrame, raw: str = "raw", redacted: str = "redacted") -> Data
             if line is None:
                 return None
             at = iter(new if new is not None else ())
-            return transform(line, lambda text, key, path: next(at, text))[0]
+            return transform(line, lambda text, key, way: next(at, text))[0]
 
         return pd.Series([one(a, b) for a, b in zip(lines, texts, strict=True)], dtype=object)
 

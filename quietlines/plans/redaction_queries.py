@@ -177,7 +177,7 @@ def distinct_strings(spark: SparkSession, d: str) -> DataFrame:
 
 def dup_ratio(spark: SparkSession, d: str) -> DataFrame:
     some = texts(spark, d).where("text <> ''")
-    return some.groupBy("tbl", "field").agg(F.count("*").alias("total"), F.count_distinct("text").alias("distinct_texts")).withColumn("dup_ratio", F.lit(1.0) - F.col("distinct_texts") / F.col("total"))
+    return some.groupBy("tbl", "field").agg(F.count("*").alias("total"), F.count_distinct(F.sha2("text", 256)).alias("distinct_texts")).withColumn("dup_ratio", F.lit(1.0) - F.col("distinct_texts") / F.col("total"))
 
 
 def _stand_in(work: int = 1) -> model.EntityRedactor:
