@@ -62,8 +62,8 @@ _DIFF = re.compile(r"^diff --git ", re.M)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def units(text: str | None) -> list[frozenset[str]]:
-    """The word sets of the sentences, log lines or code lines of a text."""
+def sentences(text: str | None) -> list[list[str]]:
+    """The words of every sentence, log line or code line of a text that has some."""
     if not text:
         return []
     code = bool(_DIFF.search(text))
@@ -71,13 +71,19 @@ def units(text: str | None) -> list[frozenset[str]]:
     for line in text.splitlines():
         if (line.startswith(("diff --git ", "index ", "--- ", "+++ ", "@@ ")) if code else _HEADING.match(line)):
             continue
-        for part in _ROLE.split(line):
-            for sentence in [part] if code else _SENTENCE.split(part):
+        # A role mark has one of these signs.
+        for part in _ROLE.split(line) if "<" in line or '"' in line else (line,):
+            for sentence in (part,) if code else _SENTENCE.split(part):
                 if words := _WORD.findall(sentence.lower()):
-                    found.append(frozenset(words))
+                    found.append(words)
     return found
 
 
+def units(text: str | None) -> list[frozenset[str]]:
+    """The word sets of the sentences of a text."""
+    return [frozenset(words) for words in sentences(text)]
+
+
 Rules = dict[frozenset[str], list[tuple[str, float]]]
 
 
@@ -275,8 +281,8 @@ def subject_shares(documents: DataFrame, rules: Rules, line: tuple[float, float]
         for rows in batches:
             out = []
             for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
-                found = units(text)
-                about: Counter = Counter(recall(unit & known) for unit in found)
+                found = sentences(text)
+                about: Counter = Counter(recall(known.intersection(words)) for words in found)
                 del about[None]
                 out += [(doc, s, len(found), n) for s, n in about.items()]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "n_units", "n_about"])
